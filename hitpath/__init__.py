@@ -4,6 +4,10 @@ Every operator takes an *entries* DataFrame (one row per request) and returns
 a DataFrame; nothing is executed until the caller writes or shows a result.
 """
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from hitpath.sources.ltsv import parse_lines, read_ltsv
 from hitpath.sources.store import read_entries, write_entries, write_report
 from hitpath.operators.filters import filter_entries
@@ -31,3 +35,7 @@ __all__ = [
     "write_entries",
     "write_report",
 ]
+
+# Functions that run inside tasks are sent to the executors by value, so the
+# package has to be importable on the driver only.
+register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ _BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 _CONTROL = "[\\x00-\\x1f\\x7f]"
 
 
-def _after(text: Column, mark: str) -> Column:
+def text_after(text: Column, mark: str) -> Column:
     """The part of ``text`` behind the first ``mark``; empty without one."""
     at = F.instr(text, mark)
     return F.when(at > 0, F.substr(text, at + F.lit(1))).otherwise(F.lit(""))
@@ -43,7 +43,7 @@ def with_request_parts(df: DataFrame, req: str = "req") -> DataFrame:
     callers may filter on the result.
     """
     line = F.col(req)
-    target = F.substring_index(_after(line, " "), " ", 1)
+    target = F.substring_index(text_after(line, " "), " ", 1)
     df = df.withColumn("_target", target)
 
     body = F.substring_index("_target", "#", 1)
@@ -68,7 +68,7 @@ def with_request_parts(df: DataFrame, req: str = "req") -> DataFrame:
         F.col("_target").rlike(_CONTROL)
         | (~rooted & ~F.col("_scheme") & (F.instr(F.substring_index(raw, "/", 1), ":") > 0))
         | (has_host & ~port.rlike("^(?::[0-9]*)?$"))
-        | (F.instr("_target", "#") > 0) & _after(F.col("_target"), "#").rlike(_BAD_ESCAPE)
+        | (F.instr("_target", "#") > 0) & text_after(F.col("_target"), "#").rlike(_BAD_ESCAPE)
     )
     df = df.withColumn(
         "_path", F.when((F.instr(line, " ") > 0) & ~broken, percent_decode(path))
@@ -80,7 +80,7 @@ def with_request_parts(df: DataFrame, req: str = "req") -> DataFrame:
         {
             "method": F.when(valid, F.substring_index(line, " ", 1)).otherwise(empty),
             "path": F.coalesce("_path", empty),
-            "query": F.when(valid, _after(F.col("_rest"), "?")).otherwise(empty),
+            "query": F.when(valid, text_after(F.col("_rest"), "?")).otherwise(empty),
         }
     ).drop("_target", "_scheme", "_rest", "_raw", "_path")
 

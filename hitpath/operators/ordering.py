@@ -1,36 +1,54 @@
 """Row order within a user, computed so that no user needs a task of its own.
 
 The rows of a user are ordered by ``(time, ord)``. A plain window over ``uid``
-would send all rows of the busiest user to one task. Here each user's timeline
-is cut into chunks of consecutive time; windows run per ``(uid, chunk)``, and
-only the first and last row of each chunk take part in a second, far smaller
-step that links neighbouring chunks.
+sends all rows of a user to one task, which is fine until one user makes a
+large part of the log. Such *hot* users are found by a count, and their
+timeline is cut into one-second chunks. Windows run per ``(uid, chunk)``; only
+the first and last row of a chunk take part in a second step that links the
+chunks of a user. All other users have a single chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_SECONDS = 60
+# A user is hot with more rows than this ...
+HOT_ROWS = 1_000_000
+# ... and more than this share of all rows, so there are at most 100,000.
+HOT_SHARE = 1e-5
 
 
-def with_chunk(df: DataFrame, seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Add ``chunk``, the index of the row's time slice since the epoch."""
-    return df.withColumn("chunk", F.floor(F.unix_seconds("time") / F.lit(seconds)).cast("bigint"))
+def hot_users(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The users with more than ``hot_rows`` rows and ``HOT_SHARE`` of them all."""
+    counts = rows.groupBy("uid").agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("total")).scalar()
+    return counts.where((F.col("_rows") > hot_rows) & (F.col("_rows") > total * F.lit(HOT_SHARE))).select(
+        "uid", F.lit(True).alias("_hot")
+    )
+
+
+def with_chunk(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``chunk``: the second of a hot user's row, 0 for other users.
+
+    The share a hot user must exceed bounds the list of them, so it can be
+    broadcast.
+    """
+    marked = rows.join(F.broadcast(hot_users(rows, hot_rows)), "uid", "left")
+    return marked.withColumn("chunk", F.when(F.col("_hot"), F.unix_seconds("time")).otherwise(F.lit(0))).drop("_hot")
 
 
 def chunk_window() -> Window:
     return Window.partitionBy("uid", "chunk").orderBy("time", "ord")
 
 
-def consecutive_pairs(rows: DataFrame, value: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
+def consecutive_pairs(rows: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each pair of neighbouring values of a user, as ``(previous, following)``.
 
     The first value of a user has a NULL ``previous``, the last one a NULL
     ``following``. ``rows`` needs ``uid``, ``time``, ``ord`` and ``value``.
     """
-    rows = with_chunk(rows.select("uid", "time", "ord", F.col(value).alias("here")), seconds)
+    rows = with_chunk(rows.select("uid", "time", "ord", F.col(value).alias("here")), hot_rows)
     linked = rows.select(
         "uid",
         "chunk",
@@ -69,9 +87,9 @@ def consecutive_pairs(rows: DataFrame, value: str, seconds: int = CHUNK_SECONDS)
     return inside.unionByName(between)
 
 
-def with_position(rows: DataFrame, seconds: int = CHUNK_SECONDS) -> DataFrame:
+def with_position(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``position``, the 0-based rank of a row within its user."""
-    rows = with_chunk(rows, seconds)
+    rows = with_chunk(rows, hot_rows)
     sizes = rows.groupBy("uid", "chunk").agg(F.count("*").alias("_size"))
     timeline = Window.partitionBy("uid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("uid", "chunk", F.coalesce(F.sum("_size").over(timeline), F.lit(0)).alias("_start"))
@@ -83,25 +101,31 @@ def with_position(rows: DataFrame, seconds: int = CHUNK_SECONDS) -> DataFrame:
     )
 
 
-def without_long_runs(rows: DataFrame, value: str, reset: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Drop rows from the middle of a run of one repeated value.
+def without_long_runs(rows: DataFrame, value: str, reset: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Drop rows of hot users from the middle of a run of one repeated value.
 
     Of each run within a chunk the first two rows and the last one stay.
     Folding gives the same pattern for two repetitions as for any larger
     number, so this changes no result; it takes the bulk out of users who
-    request one thing over and over.
+    request one thing over and over. Rows of other users pass unshuffled.
     """
+    hot = F.broadcast(hot_users(rows, hot_rows).select("uid"))
     w = chunk_window()
-    rows = with_chunk(rows, seconds).withColumns(
-        {
-            "_p1": F.lag(value, 1).over(w),
-            "_p2": F.lag(value, 2).over(w),
-            "_n1": F.lead(value, 1).over(w),
-            "_r1": F.lag(reset, 1).over(w),
-        }
+    near = (
+        rows.join(hot, "uid", "left_semi")
+        .withColumn("chunk", F.unix_seconds("time"))
+        .withColumns(
+            {
+                "_p1": F.lag(value, 1).over(w),
+                "_p2": F.lag(value, 2).over(w),
+                "_n1": F.lead(value, 1).over(w),
+                "_r1": F.lag(reset, 1).over(w),
+            }
+        )
     )
-    same: Column = F.col(value)
+    same = F.col(value)
     middle = (
         (same == F.col("_p1")) & (same == F.col("_p2")) & (same == F.col("_n1")) & ~F.col(reset) & ~F.col("_r1")
     )
-    return rows.where(~F.coalesce(middle, F.lit(False))).drop("_p1", "_p2", "_n1", "_r1", "chunk")
+    thinned = near.where(~F.coalesce(middle, F.lit(False))).select(*rows.columns)
+    return rows.join(hot, "uid", "left_anti").unionByName(thinned)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hitpath.functions.fold import Folder, nests, pattern_text
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros, offset_ms
-from hitpath.operators.ordering import CHUNK_SECONDS, with_position, without_long_runs
+from hitpath.operators.ordering import HOT_ROWS, with_position, without_long_runs
 from hitpath.operators.trend import origin, period
 
 LATE_SHARE = 0.95
@@ -72,7 +72,7 @@ def orphan_users(entries: DataFrame) -> DataFrame:
     )
 
 
-def sequences(entries: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def sequences(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The requests of each user from the last new user id on, in order.
 
     Long form, one row per request: a sequence is never gathered in one row.
@@ -82,7 +82,7 @@ def sequences(entries: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFra
         visits.where("set_new_uid").groupBy("uid").agg(F.max(F.struct("time", "ord")).alias("_reset"))
     )
     kept = visits.join(resets, "uid").where(F.struct("time", "ord") >= F.col("_reset"))
-    return with_position(kept.select("uid", "time", "ord", "endpoint"), chunk_seconds).select(
+    return with_position(kept.select("uid", "time", "ord", "endpoint"), hot_rows).select(
         "uid", "position", "endpoint"
     )
 
@@ -120,7 +120,7 @@ def _fold_users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([folded()], schema=schema)
 
 
-def user_patterns(entries: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def user_patterns(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The folded pattern of each user's sequence.
 
     Folding is sequential within a user by definition. Rows are streamed
@@ -128,7 +128,7 @@ def user_patterns(entries: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> Dat
     sequence, and long runs of one endpoint are thinned out before the rows of
     a user come together.
     """
-    visits = without_long_runs(_visits(entries), "endpoint", "set_new_uid", chunk_seconds)
+    visits = without_long_runs(_visits(entries), "endpoint", "set_new_uid", hot_rows)
     ordered = visits.repartition("uid").sortWithinPartitions("uid", "time", "ord")
     rows = ordered.select("uid", micros(F.col("time")).alias("us"), "endpoint", "set_new_uid")
     return rows.mapInArrow(_fold_users, f"uid string, first_us bigint, last_us bigint, {_PATTERN}")
@@ -183,12 +183,12 @@ def _merge_compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def scenarios(
-    entries: DataFrame, share: float = LATE_SHARE, chunk_seconds: int = CHUNK_SECONDS
+    entries: DataFrame, share: float = LATE_SHARE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Scenarios with their first and last call and the number of users."""
     start = micros(origin(entries))
     ms = lambda us: F.call_function("div", us - start, F.lit(1000).cast("bigint"))
-    users = user_patterns(entries, chunk_seconds).select(
+    users = user_patterns(entries, hot_rows).select(
         ms(F.col("first_us")).alias("first_req_ms"), ms(F.col("last_us")).alias("last_req_ms"),
         "pattern", "leaves", "loops",
     )

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitpath.functions.request import endpoint
-from hitpath.operators.ordering import CHUNK_SECONDS, consecutive_pairs
+from hitpath.operators.ordering import HOT_ROWS, consecutive_pairs
 
 
-def transition_edges(entries: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def transition_edges(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Count of each step from ``source`` to ``target`` over all users.
 
     An empty ``source`` marks a user's first request, an empty ``target`` the
     end after the last one.
     """
     rows = entries.select("uid", "time", "ord", endpoint().alias("endpoint"))
-    pairs = consecutive_pairs(rows, "endpoint", chunk_seconds)
+    pairs = consecutive_pairs(rows, "endpoint", hot_rows)
     return (
         pairs.groupBy(
             F.coalesce("previous", F.lit("")).alias("source"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitpath.functions.request import computed_once, with_request_parts
+from hitpath.functions.request import computed_once, text_after, with_request_parts
 from hitpath.functions.values import (
     DEFAULT_TIME_FORMAT,
     parse_status,
@@ -33,24 +34,31 @@ ENTRY_COLUMNS = (
     "route_id",
 )
 
-# A value that means "no cookie": nothing at all or a lone dash.
-_PRESENT = "(?!-?(?:\\t|\\z))"
-
-
 def _labels(overrides: Mapping[str, str] | None) -> dict[str, str]:
     labels = {name: name for name in LABELS}
     labels.update({k: v for k, v in (overrides or {}).items() if k in labels})
     return labels
 
 
-def _last(value: Column, labels: Iterable[str], guard: str = "") -> Column:
-    """Value of the last field in the line that carries one of ``labels``."""
-    names = "|".join(re.escape(name) for name in labels)
-    return F.regexp_extract(value, f"(?s)^(?:.*\\t)?(?:{names}):{guard}([^\\t]*)", 1)
+def _fields(fields: Column, labels: Iterable[str]) -> Column:
+    """The fields of a line that carry one of ``labels``."""
+    marks = [f"{label}:" for label in labels]
+    return F.filter(fields, lambda f: reduce(or_, (f.startswith(mark) for mark in marks)))
+
+
+def _last(fields: Column, label: str) -> Column:
+    """Value of the last field with this label; NULL without one."""
+    field = F.try_element_at(_fields(fields, [label]), F.lit(-1))
+    return F.substr(field, F.lit(len(label) + 2))
 
 
-def _has(value: Column, label: str, guard: str = "") -> Column:
-    return value.rlike(f"(?:^|\\t){re.escape(label)}:{guard}")
+def _cookies(fields: Column, labels: list[str]) -> Column:
+    """The fields with one of ``labels`` that hold a cookie.
+
+    Nothing at all and a lone dash both mean that there is none.
+    """
+    absent = [f"{label}:{value}" for label in labels for value in ("", "-")]
+    return F.filter(_fields(fields, labels), lambda f: ~f.isin(absent))
 
 
 def parse_lines(
@@ -72,32 +80,39 @@ def parse_lines(
     if mode not in MODES:
         raise ValueError(f"mode should be one of {MODES}, but: {mode}")
     names = _labels(labels)
-    line = F.col(value)
-    cookies = (names["uidset"], names["uidgot"])
-
-    df = lines.where(line != "").select(
-        F.col(ord).alias("ord"),
-        line.alias("_line"),
-        _last(line, [names["req"]]).alias("req"),
-        _last(line, [names["status"]]).alias("_status"),
-        _last(line, [names["time"]]).alias("_time"),
-        strip_cookie_name(_last(line, cookies, _PRESENT)).alias("uid"),
-        _has(line, names["uidset"], _PRESENT).alias("set_new_uid"),
+    line, fields = F.col("_line"), F.col("_fields")
+    df = lines.where(F.col(value) != "").select(
+        F.col(ord).alias("ord"), F.col(value).alias("_line"), F.split(value, "\t").alias("_fields")
+    )
+    # Each line is cut up once; most of its fields are then out of the way.
+    df = df.select(
+        "ord",
+        "_line",
+        F.exists(fields, lambda f: ~F.contains(f, F.lit(":"))).alias("_unlabelled"),
+        _fields(fields, names.values()).alias("_fields"),
+    )
+    df = df.select(
+        "ord",
+        "_line",
+        "_unlabelled",
+        F.coalesce(_last(fields, names["req"]), F.lit("")).alias("req"),
+        _last(fields, names["status"]).alias("_status"),
+        _last(fields, names["time"]).alias("_time"),
+        F.try_element_at(_cookies(fields, [names["uidset"], names["uidgot"]]), F.lit(-1)).alias("_cookie"),
+        (F.size(_cookies(fields, [names["uidset"]])) > 0).alias("set_new_uid"),
     )
     df = df.withColumns(
         {
+            "uid": F.coalesce(strip_cookie_name(text_after(F.col("_cookie"), ":")), F.lit("")),
             "status": parse_status(F.col("_status")),
             "time": parse_time(F.col("_time"), time_format),
         }
     )
-    raw = F.col("_line")
     status, time = F.col("status"), F.col("time")
-    has_status = (F.col("_status") != "") | _has(raw, names["status"])
-    has_time = (F.col("_time") != "") | _has(raw, names["time"])
     error = (
-        F.when(raw.rlike("(?:^|\\t)[^:\\t]*(?:\\t|\\z)"), F.lit("field without a label"))
-        .when(status.isNull() & has_status, F.lit("bad status"))
-        .when(time.isNull() & has_time, F.lit("bad time"))
+        F.when(F.col("_unlabelled"), F.lit("field without a label"))
+        .when(status.isNull() & F.col("_status").isNotNull(), F.lit("bad status"))
+        .when(time.isNull() & F.col("_time").isNotNull(), F.lit("bad time"))
         .when(F.col("req") == "", F.lit("missing req"))
         .when(status.isNull() | (status == 0), F.lit("missing status"))
         .when(time.isNull(), F.lit("missing time"))
