@@ -147,3 +147,22 @@ def read_ltsv(spark: SparkSession, paths: str | list[str], **options) -> DataFra
         ).alias("ord"),
     )
     return parse_lines(lines, **options)
+
+
+def stream_ltsv(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, **options) -> DataFrame:
+    """New LTSV files in a folder as a stream of entries.
+
+    A stream cannot number its rows, so ``ord`` tells files and splits apart
+    but not the lines of one split.
+    """
+    reader = spark.readStream
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = reader.text(path).select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+        ).alias("ord"),
+    )
+    return parse_lines(lines, **options)

@@ -24,19 +24,23 @@ class _LastVisit(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "endpoint string")
+        self._last = handle.getValueState("last", "endpoint string, us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        visits = pd.concat(list(rows)).sort_values(["us", "ord"])
-        targets = visits["endpoint"]
-        before = self._last.get()[0] if self._last.exists() else ""
-        sources = targets.shift(fill_value=before)
-        self._last.update((targets.iloc[-1],))
+        visits = pd.concat(list(rows)).sort_values(["us", "ord"], kind="stable")
+        targets, times = visits["endpoint"], visits["us"]
+        before, seen = self._last.get() if self._last.exists() else ("", times.iloc[0])
+        steps = pd.DataFrame({"source": targets.shift(fill_value=before), "target": targets})
         if self._idle_ms is not None:
+            away = (times - times.shift(fill_value=seen)) > self._idle_ms * 1000
+            exits = steps[away].assign(target="")
+            steps["source"] = steps["source"].mask(away, "")
+            steps = pd.concat([exits, steps])
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
-            self._handle.registerTimer(int(visits["us"].iloc[-1]) // 1000 + self._idle_ms)
-        yield pd.DataFrame({"uid": key[0], "source": sources.to_numpy(), "target": targets.to_numpy()})
+            self._handle.registerTimer(int(times.iloc[-1]) // 1000 + self._idle_ms)
+        self._last.update((targets.iloc[-1], int(times.iloc[-1])))
+        yield steps.assign(uid=key[0])[["uid", "source", "target"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._last.exists():
@@ -57,8 +61,9 @@ def steps(entries: DataFrame, idle_ms: int | None = None, delay: str = "0 second
 
     Rows of a user are ordered within a micro-batch; size batches with
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``. A stream has no end, so
-    exit steps need a rule: with ``idle_ms`` a user without a request for that
-    long, by the watermark, gets a step to the empty target and starts anew.
+    exit steps need a rule: with ``idle_ms`` a user without a request for
+    longer than that gets a step to the empty target and starts anew. The last
+    exit of a user is written once the watermark has passed that time.
     """
     use_rocksdb(entries.sparkSession)
     visits = entries if idle_ms is None else entries.withWatermark("time", delay)
@@ -66,7 +71,7 @@ def steps(entries: DataFrame, idle_ms: int | None = None, delay: str = "0 second
         F.col("uid").cast("string").alias("uid"),
         "time",
         micros(F.col("time")).alias("us"),
-        F.col("ord").alias("ord"),
+        "ord",
         endpoint().alias("endpoint"),
     )
     return rows.groupBy("uid").transformWithStateInPandas(

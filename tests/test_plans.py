@@ -1,0 +1,74 @@
+"""What the physical plans must and must not contain."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_cross_joins_and_no_windows_over_everything(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    for spec in re.findall(r"windowspecdefinition\((.*)", text):
+        assert not spec.startswith(("ord", "time", "step", "count"))
+    # One partition is for one-row aggregates only.
+    lines = text.splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "HashAggregate(keys=[]" in lines[i + 1], lines[i + 1]
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_scans_read_few_columns(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    read = set(re.findall(r"(\w+):", " ".join(re.findall(r"ReadSchema: struct<([^>]*)>", text))))
+    assert not read & {"html", "text"}
+
+
+def test_top_values_are_cut_before_the_shuffle(spark):
+    assert plan(entry.queries()["param_top_values"](spark, SF)).count("WindowGroupLimit") == 2
+
+
+def _final(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["param_top_values_events", "query_combo_top", "transition_nodes"])
+def test_shuffled_counts_are_reused(spark, name):
+    text = _final(entry.queries()[name](spark, SF))
+    assert text.count("ReusedExchange") == 1 and text.count("FileScan") <= 1
+
+
+def test_parameter_statistics_scan_once(spark):
+    assert _final(entry.queries()["param_stat_events"](spark, SF)).count("FileScan") == 1
+
+
+def test_transitions_read_the_log_once_after_the_hot_user_count(spark):
+    text = _final(entry.queries()["transition_edges"](spark, SF))
+    assert text.count("ReusedExchange") >= 1 and text.count("FileScan") <= 3
+
+
+def test_counting_aggregates_before_the_shuffle(spark):
+    for name in ("endpoint_counts", "trend_long", "query_value_counts", "transition_edges"):
+        assert "partial_count(1)" in plan(entry.queries()[name](spark, SF))
+
+
+def test_generated_code_compiles(spark):
+    """A stage too large to compile would silently run interpreted."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in BATCH:
+            if name.startswith(("param", "query", "path", "route", "request", "ltsv")):
+                entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
