@@ -88,17 +88,24 @@ def consecutive_pairs(rows: DataFrame, value: str, hot_rows: int = HOT_ROWS) ->
 
 
 def with_position(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``position``, the 0-based rank of a row within its user."""
-    rows = with_chunk(rows, hot_rows)
-    sizes = rows.groupBy("uid", "chunk").agg(F.count("*").alias("_size"))
-    timeline = Window.partitionBy("uid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("uid", "chunk", F.coalesce(F.sum("_size").over(timeline), F.lit(0)).alias("_start"))
-    ranked = rows.withColumn("_rank", F.row_number().over(chunk_window()) - 1)
-    return (
-        ranked.join(starts, ["uid", "chunk"])
-        .withColumn("position", (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("chunk", "_start", "_rank")
+    """Add ``position``, the 0-based rank of a row within its user.
+
+    The rank within the chunk is offset by the sizes of the chunks before it.
+    Only chunks of hot users have any, and the last row of a chunk tells its
+    size, so the offsets come from the same shuffled rows.
+    """
+    w = chunk_window()
+    ranked = with_chunk(rows, hot_rows).withColumns(
+        {"_rank": F.row_number().over(w), "_last": F.lead("chunk").over(w).isNull()}
+    )
+    before = Window.partitionBy("uid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranked.where("_last")
+        .select("uid", "chunk", F.sum("_rank").over(before).alias("_start"))
+        .where(F.col("_start").isNotNull())
     )
+    position = F.coalesce("_start", F.lit(0).cast("bigint")) + F.col("_rank") - 1
+    return ranked.join(starts, ["uid", "chunk"], "left").select(*rows.columns, position.alias("position"))
 
 
 def without_long_runs(rows: DataFrame, value: str, reset: str, hot_rows: int = HOT_ROWS) -> DataFrame:
