@@ -319,7 +319,7 @@ def user_window_early(spark, sf):
 
 def scenario_orphans(spark, sf):
     """Users left without a new-id request by a filter on the path."""
-    visible = filter_entries(_events(spark, sf), "uri <> '/view'")
+    visible = filter_entries(_events(spark, sf), "uri NOT IN ('/view', '/click')")
     return scenario.orphan_users(visible)
 
 
@@ -800,7 +800,7 @@ def oracle_sql() -> dict[str, str]:
         "scenario_user_window_early": _with(*_split(_WINDOW.format(share=0.005))),
         "scenario_orphans": _with(
             _E,
-            """SELECT uid, count(*) AS count FROM e WHERE uri <> '/view'
+            """SELECT uid, count(*) AS count FROM e WHERE uri NOT IN ('/view', '/click')
                GROUP BY uid HAVING NOT bool_or(set_new_uid)""",
         ),
         "scenario_sequences": _with(
