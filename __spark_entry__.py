@@ -23,6 +23,7 @@ from hitpath.sources.tables import (
     entries_from_conversations,
     entries_from_events,
     entries_from_pages,
+    event_requests,
     render_ltsv,
 )
 from hitpath.streaming import counts as stream_counts
@@ -168,8 +169,8 @@ def _combos(spark, sf, kind):
 
 
 def param_cardinality(spark, sf):
-    stat = params.param_stat(_routed(spark, sf), [ROUTE])
-    return stat.select("endpoint", "type", "parameter", "cardinality")
+    found = params.param_cardinality(_routed(spark, sf), [ROUTE])
+    return found.select("endpoint", "type", "parameter", "cardinality")
 
 
 def param_gini(spark, sf):
@@ -365,25 +366,25 @@ def _stream(spark, sf):
 
 
 def stream_trend_days(spark, sf):
-    found = stream_trend.windowed_counts(stream_counts.event_requests(_stream(spark, sf)), DAY, "1 hour")
+    found = stream_trend.windowed_counts(event_requests(_stream(spark, sf)), DAY, "1 hour")
     return stream_trend.run_append(found).select(
         "endpoint", F.unix_seconds("window_start").alias("window_s"), "count"
     )
 
 
 def stream_transition_edges(spark, sf):
-    steps = stream_transitions.steps(stream_counts.event_requests(_stream(spark, sf)))
+    steps = stream_transitions.steps(event_requests(_stream(spark, sf)))
     done = stream_trend.run_append(steps)
     return done.groupBy("source", "target").agg(F.count("*").alias("count"))
 
 
 def stream_endpoint_counts(spark, sf):
-    found = stream_counts.endpoint_counts(stream_counts.event_requests(_stream(spark, sf)))
+    found = stream_counts.endpoint_counts(event_requests(_stream(spark, sf)))
     return stream_counts.run_complete(found).select("endpoint", "count")
 
 
 def stream_param_counts(spark, sf):
-    found = stream_counts.query_value_counts(stream_counts.event_requests(_stream(spark, sf)))
+    found = stream_counts.query_value_counts(event_requests(_stream(spark, sf)))
     return stream_counts.run_complete(found).select("endpoint", "key", "value", "count")
 
 

@@ -256,6 +256,24 @@ def param_stat(
     )
 
 
+def param_cardinality(
+    entries: DataFrame, routes: Routes | Iterable[str] = (), kind: str = "all", error: float | None = None
+) -> DataFrame:
+    """Number of distinct values of each parameter.
+
+    Exact by default; ``error`` is the relative error of an estimate that
+    does not have to shuffle the values.
+    """
+    if error is None:
+        grouped = param_values(entries, routes, kind).groupBy(*PARAM).agg(F.count("*").alias("cardinality"))
+    else:
+        pieces = _pieces(entries, routes, _check_kind(kind), marker=False)
+        grouped = pieces.groupBy(*PARAM).agg(F.approx_count_distinct("value", error).alias("cardinality"))
+    return grouped.select(
+        endpoint().alias("endpoint"), F.col("kind").alias("type"), "position", _parameter().alias("parameter"), "cardinality"
+    )
+
+
 def order_params(stat: DataFrame) -> DataFrame:
     """Reading order: endpoints by URI and method, path before query."""
     return stat.orderBy("uri", "method", "type", "position", "parameter")

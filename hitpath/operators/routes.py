@@ -28,13 +28,15 @@ _POSIX = {
 }
 
 # What may stand in a pattern, as far as groups are concerned: an escape, a
-# bracketed class, a named group, any other "(?" construct, a plain group.
+# bracketed class, a named group, any other "(?" construct, a plain group; and
+# the end of the text.
 _PIECE = re.compile(
     r"(?P<escape>\\Q.*?(?:\\E|$)|\\.)"
     r"|(?P<cls>\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\])"
     r"|(?P<named>\(\?P?<(?P<name>\w+)>)"
     r"|(?P<special>\(\?)"
-    r"|(?P<plain>\()",
+    r"|(?P<plain>\()"
+    r"|(?P<end>\$)",
     re.S,
 )
 
@@ -44,12 +46,17 @@ def _java_class(text: str) -> str:
 
 
 class Route:
-    """One pattern: its text, its Java form, and the names of its groups."""
+    """One pattern: its text, its Java form, and the names of its groups.
+
+    The Java form takes only a newline for the end of a line, and ``$`` for
+    the very end of the path unless the pattern asks for lines.
+    """
 
     def __init__(self, text: str):
         self.text = text
         self.groups: list[str] = []
-        self.java = _PIECE.sub(self._piece, text)
+        self._end = "$" if re.search(r"\(\?[a-zA-Z]*m", text) else "\\z"
+        self.java = "(?d)" + _PIECE.sub(self._piece, text)
 
     def _piece(self, m: re.Match) -> str:
         if m["cls"]:
@@ -57,6 +64,8 @@ class Route:
         if m["named"]:
             self.groups.append(m["name"])
             return "("
+        if m["end"]:
+            return self._end
         if m["plain"]:
             self.groups.append("")
         return m[0]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hitpath.functions.request import endpoint
 from hitpath.operators import params, trend
-from hitpath.sources.tables import event_requests  # noqa: F401
 from hitpath.streaming.trend import scratch_dir
 
 

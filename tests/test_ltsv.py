@@ -133,4 +133,4 @@ def test_report_files(spark, tmp_path, format, sep):
     text = next((tmp_path / "r").glob("part-*")).read_text()
     assert text.splitlines() == [sep.join(["Method", "Uri", "0"]), sep.join(["GET", "/", "1234"])]
     with pytest.raises(ValueError, match="format"):
-        write_report(spark.range(1), str(tmp_path / "x"), "hoge")
+        write_report(spark.range(1), str(tmp_path / "x"), "xml")

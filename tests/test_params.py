@@ -158,6 +158,13 @@ def test_combos(routed, plain, kind):
     assert counts == want and not stats and not top
 
 
+@pytest.mark.parametrize("error", [None, 0.02])
+def test_cardinality(routed, plain, error):
+    found = params.param_cardinality(routed, ROUTES, error=error)
+    got = {(r.endpoint, r.type, r.position, r.parameter): r.cardinality for r in found.collect()}
+    assert got == {k: len(v) for k, v in plain.values.items()}
+
+
 def test_tokens(entries):
     df = params.query_tokens(entries([(0, "GET /?b=2&a&a=1&B=3 HTTP/1.1", "u", True), (1, "GET / HTTP/1.1", "u")]))
     assert rows(df.orderBy("position"), "ord", "position", "key", "value") == [(0, 0, "B", "3"), (0, 2, "a", "1"), (0, 3, "b", "2")]

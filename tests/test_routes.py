@@ -16,7 +16,9 @@ LOG = [
 @pytest.mark.parametrize(
     "text, java, groups",
     [
-        ("^/users/([0-9]+)$", "^/users/([0-9]+)$", [""]),
+        ("^/users/([0-9]+)$", r"^/users/([0-9]+)\z", [""]),
+        (r"/price\$[$](x)$", r"/price\$[$](x)\z", [""]),
+        ("(?m)^/a(b)$", "(?m)^/a(b)$", [""]),
         ("/(?P<user_id>[^/]+)/(x)?", "/([^/]+)/(x)?", ["user_id", ""]),
         ("/(?<id>a(b))", "/(a(b))", ["id", ""]),
         ("/(?:a|b)/(?i:c)", "/(?:a|b)/(?i:c)", []),
@@ -27,7 +29,7 @@ LOG = [
 )
 def test_pattern_groups(text, java, groups):
     route = Route(text)
-    assert (route.java, route.groups) == (java, groups)
+    assert (route.java, route.groups) == ("(?d)" + java, groups)
 
 
 def test_no_group_warns():
@@ -47,6 +49,11 @@ def test_first_match_anywhere_wins(entries):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ends_and_dots_mean_the_whole_path(entries):
+    log = entries([(0, "GET /a%0A HTTP/1.1", "u", True), (1, "GET /a HTTP/1.1", "u"), (2, "GET /b%0Dc HTTP/1.1", "u")])
+    assert rows(apply_routes(log, ["^/(a)$", "^/(b.c)$"]), "route_id") == [(None,), (0,), (1,)]
+
+
 def test_routes_from_table(spark):
     table = spark.createDataFrame([(2, "/b(x)"), (1, "/a(x)")], "route_id int, pattern string")
     assert [r.text for r in Routes.from_table(table).routes] == ["/a(x)", "/b(x)"]
