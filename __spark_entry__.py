@@ -8,11 +8,15 @@ whole table.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from hitpath.functions.request import endpoint
 from hitpath.functions.scores import log_norm
 from hitpath.operators import graph, params, scenario, transition, trend
