@@ -8,6 +8,7 @@ whole table.
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -34,6 +35,12 @@ from hitpath.streaming import counts as stream_counts
 from hitpath.streaming import transitions as stream_transitions
 from hitpath.streaming import trend as stream_trend
 
+# The training-data operators are optional; without their folder the rest works alone.
+_LLM = importlib.util.find_spec("hitpath.llm") and importlib.util.find_spec("corpus_pipeline")
+if _LLM:
+    import corpus_pipeline
+    from hitpath.llm import queries as llm_queries
+
 DAY = 86400
 ROUTE = "^/(?P<lang>[a-z]{2})/([0-9]+)"
 ROUTES = ["^/en/([0-9]+)\\.html$", "^/(?P<lang>en|fr)/(?P<id>[0-9]+)", "^/(de)/"]
@@ -442,6 +449,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_transitions": stream_transition_edges,
         "stream_endpoint_counts": stream_endpoint_counts,
         "stream_param_counts": stream_param_counts,
+        **(llm_queries.queries() | {"pipeline": corpus_pipeline.run} if _LLM else {}),
     }
 
 
@@ -853,6 +861,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_param_counts": _with(
             _E + _EVENT_TOKENS, "SELECT endpoint, key, value, count(*) AS count FROM t GROUP BY ALL"
         ),
+        **(llm_queries.oracle_sql() if _LLM else {}),
     }
 
 
