@@ -1,8 +1,68 @@
-"""The training-data pipeline: each stage applies one operator to all that the stage before has kept."""
+"""The training-data pipeline: each stage applies one operator to all that the stage before has kept.
 
-STAGES = []
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir)
+and returns a DataFrame, which is written as Parquet and read as the next
+stage's documents. All but the last return the columns of ``documents``. A
+null or empty text is rejected by the first stage, as it has no language.
+"""
+
+from __future__ import annotations
+
+from public_tokenizers import path
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hitpath.llm import langid, mixing, pieces, pii, simhash
+from hitpath.llm.common import written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a recognised language; the others go."""
+    return langid.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by shingles of five words.
+
+    Shingle sets of similarity 0.8 have fingerprints a few bits apart, so the
+    radius is wider than the operator's own; beyond it unrelated texts would
+    begin to meet.
+    """
+    return simhash.deduplicated(docs, words=5, radius=6)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights; a document is a row for each time it is taken."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every text in the mix, and the text they decode to."""
+    return pieces.encode_texts(docs, path("piece_bpe_32k.model")).select("doc_id", "source", "ids", "decoded")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+# Neither the language model nor the fingerprints and tokens can be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name)
+    return docs

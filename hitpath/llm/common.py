@@ -91,7 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edges no longer
     change. Each step groups to a minimum and joins, so that a node with very
     many links is pre-aggregated and its join can be split. Nodes without
-    links are not returned.
+    links, and those that name a component, are not returned.
     """
     found = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

@@ -17,7 +17,7 @@ from hitpath.llm.common import written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-BUCKETS = 65536
+BUCKETS = 4096
 
 
 def word_count(text: str = "text") -> Column:

@@ -5,13 +5,25 @@ from __future__ import annotations
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from hitpath.llm import mixing, pieces, pii, sketch, tokenfile, urls
+from hitpath.llm import langid, mixing, pieces, pii, simhash, sketch, tokenfile, urls, vectors
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_vectors(spark, sf):
+    return vectors.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op2_language(spark, sf):
+    return langid.identify(_docs(spark, sf))
+
+
+def op3_simhash(spark, sf):
+    return simhash.near_duplicates(_docs(spark, sf))
+
+
 def op4_mixing(spark, sf):
     return mixing.mix(_docs(spark, sf)).drop("copies")
 
@@ -37,7 +49,7 @@ def op10_fingerprints(spark, sf):
 
 
 def queries() -> dict:
-    found = [op4_mixing, op5_urls, op6_pii, op8_tokens, op9_pieces, op10_fingerprints]
+    found = [op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op8_tokens, op9_pieces, op10_fingerprints]
     return {f.__name__: f for f in found}
 
 
