@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from hitpath.llm import langid, mixing, pieces, pii, simhash, sketch, tokenfile, urls, vectors
+from hitpath.llm import langid, lm, mixing, pieces, pii, simhash, sketch, tokenfile, urls, vectors
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_pii(spark, sf):
     return pii.report(_docs(spark, sf))
 
 
+def op7_scores(spark, sf):
+    return lm.score(_docs(spark, sf))
+
+
 def op8_tokens(spark, sf):
     return tokenfile.encode(_docs(spark, sf), path("word_bpe_49k.json"), end_id=2)
 
@@ -49,7 +53,7 @@ def op10_fingerprints(spark, sf):
 
 
 def queries() -> dict:
-    found = [op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op8_tokens, op9_pieces, op10_fingerprints]
+    found = [op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op7_scores, op8_tokens, op9_pieces, op10_fingerprints]
     return {f.__name__: f for f in found}
 
 
