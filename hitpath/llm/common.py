@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -140,51 +140,54 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordCache:
     """Ids of words, remembered between the batches and tasks of a worker.
 
-    Texts repeat most of their words, so each word is encoded once by
-    ``encode`` (words to id arrays as one flat array with lengths). Beyond
-    ``most`` words the memory is cleared and fills again; results don't depend
-    on it.
+    Texts repeat most of their words, so ``encode`` (words to one flat array of
+    ids, with lengths) is asked once for each of the first ``most`` different
+    words, which hold the frequent ones; it is asked again for others. Results
+    don't depend on what is remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
         self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint16)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _add(self, words: list[str]) -> None:
+    def _append(self, words: list[str]) -> int:
+        """Put the ids of words behind those known; returns how much of the pool is then used."""
         flat, lengths = self.encode(words)
-        first = len(self.codes)
-        while self.used + len(flat) > len(self.pool):
+        first, used = len(self.codes), self.used + len(flat)
+        while used > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         while first + len(words) > len(self.start):
             self.start = np.resize(self.start, 2 * len(self.start))
             self.length = np.resize(self.length, 2 * len(self.length))
-        self.pool[self.used : self.used + len(flat)] = flat
+        self.pool[self.used : used] = flat
         self.start[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : first + len(words)] = lengths
-        self.used += len(flat)
-        self.codes.update(zip(words, range(first, first + len(words))))
+        return used
 
     def ids(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents one after the other, and how many each has."""
-        new = set().union(*documents).difference(self.codes)
-        if len(new) + len(self.codes) > self.most:
-            self.clear()
-            new = set().union(*documents)
-        if new:
-            self._add(list(new))
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(documents)), np.int64, counts.sum())
+        words = list(chain.from_iterable(documents))
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            new: dict[str, int] = {}
+            for i in missing:
+                new.setdefault(words[i], len(self.codes) + len(new))
+            used = self._append(list(new))
+            codes[missing] = [new[words[i]] for i in missing]
         lengths = self.length[codes].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum(counts)
-        return self.pool[ranges(self.start[codes], lengths)], total[ends] - total[ends - counts]
+        found = self.pool[ranges(self.start[codes], lengths)]
+        if missing and len(self.codes) + len(new) <= self.most:
+            self.codes.update(new)
+            self.used = used
+        return found, total[ends] - total[ends - counts]
 
 
 def portions(sizes: Iterable[int], most: int) -> list[tuple[int, int]]:

@@ -211,7 +211,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         model = model_of(path)
         for batch in batches:
             texts = pc.fill_null(batch.column(field), "")
-            for i, j in portions(pc.binary_length(texts).to_pylist(), 4_000_000):
+            for i, j in portions(pc.binary_length(texts).to_pylist(), 1_500_000):
                 ids, counts = model.encode(texts.slice(i, j - i).to_pylist())
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32))
@@ -231,7 +231,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             texts = batch.column(1)
-            for i, j in portions(pc.binary_length(texts).to_pylist(), 4_000_000):
+            for i, j in portions(pc.binary_length(texts).to_pylist(), 1_500_000):
                 ids, counts = model.encode(texts.slice(i, j - i).to_pylist())
                 raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
                 yield pa.RecordBatch.from_pydict(

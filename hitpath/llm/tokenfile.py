@@ -11,16 +11,19 @@ they lack. Shards are numbered in ascending order of ``doc_id``.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitpath.llm.common import WordCache, id_bounds, partitions, portions, range_of, shared_path
+from hitpath.llm.common import LOWEST, WordCache, id_bounds, partitions, portions, shared_path
 
 SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 1 << 16
@@ -28,21 +31,42 @@ DICT_BYTES = 1 << 16
 SHARD_BYTES = 8 << 20
 LEVEL = 3
 
+#: The vocabulary's characters for the 256 bytes: printable ones stand for themselves, others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
 _cache: dict[str, WordCache] = {}
 
 
+def _byte_characters() -> dict[int, int]:
+    others = [b for b in range(256) if b not in _PLAIN]
+    return {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def word_cache(path: str) -> WordCache:
-    """A cached encoder of the tokenizer file, whose pre-tokenizer never joins what a space or newline parts."""
+    """A cached encoder of the tokenizer file, whose pre-tokenizer never joins what a space or newline parts.
+
+    Words of lower-case letters below U+0130 pass its normalizer and
+    pre-tokenizer unchanged, so they go to its BPE model directly.
+    """
     if path not in _cache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model, table = tokenizer.model, _byte_characters()
+
+        def simple(word: str) -> list[int]:
+            return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))]
 
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for i, j in portions(map(len, words), 200_000) for e in
-                     tokenizer.encode_batch_fast(words[i:j], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((x for ids in found for x in ids), np.uint16, lengths.sum()), lengths
+            flat, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+            for i, j in portions(map(len, words), 50_000):
+                found = [simple(w) if w.isalpha() and w.islower() and not _beyond.search(w) else None for w in words[i:j]]
+                rest = [k for k, ids in enumerate(found) if ids is None]
+                for k, e in zip(rest, tokenizer.encode_batch_fast([words[i + k] for k in rest], add_special_tokens=False)):
+                    found[k] = e.ids
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint16, lengths[-1].sum()))
+            return np.concatenate(flat), np.concatenate(lengths)
 
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
@@ -50,14 +74,26 @@ def word_cache(path: str) -> WordCache:
     return _cache[path]
 
 
+#: Characters whose lower case, one to one, cannot change how others are composed.
+_beyond = re.compile("[^\x00-\u012f]")
+
+
 def split_words(text: str) -> list[str]:
-    """The pieces between spaces and newlines; ASCII texts in lower case, as the tokenizer ignores it.
+    """The pieces between spaces and newlines, with commas and stops after letters apart.
 
-    Texts that may hold a special token keep their case, by which it is known.
+    That makes fewer different pieces and changes no id: the tokenizer splits
+    there, and it ignores case. Case is kept where a special token may be, as
+    it is known by it, and where lower-casing first might compose differently.
     """
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    return text.replace("\n", " ").split(" ")
+    text = text.replace("\n", " ")
+    if "<|" not in text:
+        if not _beyond.search(text):
+            text = text.lower()
+        for stop in (", ", ". "):
+            parts = text.split(stop)
+            if all(p[-1:].isalnum() and p[-1] != "\u0130" for p in parts[:-1]):
+                text = f" {stop}".join(parts)
+    return text.split(" ")
 
 
 def _serialize(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
@@ -131,18 +167,23 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     dictionary = train_dictionary(docs, path, end_id)
     digest = dictionary_hash(dictionary)
     serialize = _serialize(path, end_id)
+    n = partitions(spark)
+    cuts = np.array(id_bounds(docs, "doc_id", 4 * n), np.int64)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_load(dictionary), write_content_size=True)
+        shared = _load(dictionary)
+        shared.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(dict_data=shared, write_content_size=True)
         for batch in batches:
-            texts = batch.column(2)
-            lengths = pa.compute.binary_length(texts).to_numpy()
-            for i, j in portions(lengths, 4_000_000):
+            ids, texts = batch.column(0), batch.column(1)
+            parts = pa.array(np.searchsorted(cuts, pc.fill_null(ids, LOWEST).to_numpy(), side="right"), pa.int32())
+            lengths = pc.binary_length(texts).to_numpy()
+            for i, j in portions(lengths, 1_000_000):
                 rows = serialize(texts.slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "part": batch.column(0).slice(i, j - i),
-                        "doc_id": batch.column(1).slice(i, j - i),
+                        "part": parts.slice(i, j - i),
+                        "doc_id": ids.slice(i, j - i),
                         "n_tokens": pa.array([len(r) // 2 for r in rows], pa.int64()),
                         "frame": pa.array([packer.compress(r) for r in rows], pa.binary()),
                     }
@@ -176,11 +217,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
         if rows:
             yield packed()
 
-    n = partitions(spark)
-    bounds = id_bounds(docs, "doc_id", 4 * n)
-    frames = docs.select(
-        range_of("doc_id", bounds).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    ).mapInArrow(compress, "part int, doc_id long, n_tokens long, frame binary")
+    frames = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compress, "part int, doc_id long, n_tokens long, frame binary")
     shards = (
         frames.repartition(n, "part")
         .sortWithinPartitions("part", "doc_id", "n_tokens", "frame")

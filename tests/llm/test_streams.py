@@ -86,7 +86,7 @@ def test_one_document_of_a_file(spark, documents, tmp_path):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([*"aAé,'\n\t\x1c\xa0", " ", "<|endoftext|>", "H̱", "Σ", "12", "'LL"])).map("".join)))
+@given(st.lists(st.lists(st.sampled_from([*"aAé,'\n\t\x1c\xa0", " ", "<|endoftext|>", "H̱", "Σ", "12", "'LL", ", ", ". ", "İ", "é", "ß", "_", "²"])).map("".join)))
 def test_cached_words_of_any_text(texts):
     ids, counts = tokenfile.word_cache(WORD).ids([tokenfile.split_words(t) for t in texts])
     ends = np.cumsum(counts)
