@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("req", "method", "uri", "status", "time", "uid", "set_new_uid")
-
 
 def filter_entries(entries: DataFrame, condition: str | Column = "") -> DataFrame:
     """Keep entries that meet a Spark SQL predicate or a boolean Column.

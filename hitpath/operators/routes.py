@@ -42,7 +42,15 @@ _PIECE = re.compile(
 
 
 def _java_class(text: str) -> str:
-    return re.sub(r"\[:(\w+):\]", lambda m: _POSIX.get(m.group(1), m.group(0)), text)
+    """A bracketed class for Java, where ``[`` and ``&&`` inside would mean nesting and intersection."""
+
+    def piece(m: re.Match) -> str:
+        if m["name"] in _POSIX:
+            found = _POSIX[m["name"]]
+            return f"[^{found}]" if m["not"] else found
+        return {"[": "\\[", "&&": "&\\&"}.get(m[0], m[0])
+
+    return "[" + re.sub(r"\\.|\[:(?P<not>\^?)(?P<name>\w+):\]|\[|&&", piece, text[1:], flags=re.S)
 
 
 class Route:
@@ -78,19 +86,12 @@ class Routes:
         self.routes = [Route(text) for text in patterns]
         for route in self.routes:
             if not route.groups:
-                warnings.warn(f"no capturing group is found in the pattern: {route.text!r}", stacklevel=2)
+                warnings.warn(f"pattern {route.text!r} captures nothing", stacklevel=2)
 
     @classmethod
-    def from_table(cls, table: DataFrame, pattern: str = "pattern", order: str = "route_id", limit: int = 1000) -> Routes:
-        """Take the patterns from a small configuration table, in ``order``.
-
-        The list becomes part of the plan, so a table of more than ``limit``
-        rows is refused.
-        """
-        rows = table.select(order, pattern).orderBy(order).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {limit} route patterns")
-        return cls(row[1] for row in rows)
+    def from_table(cls, table: DataFrame, pattern: str = "pattern", order: str = "route_id") -> Routes:
+        """Take the patterns from a configuration table, in ``order``. The list becomes part of the plan."""
+        return cls(row[1] for row in table.select(order, pattern).orderBy(order).toLocalIterator())
 
     def __len__(self) -> int:
         return len(self.routes)

@@ -126,7 +126,8 @@ def parse_sort(keys: Iterable[str]) -> list[tuple[str, bool]]:
 
 
 def sort_trend(vectors: DataFrame, keys: Iterable[str] = ("sum:desc",)) -> DataFrame:
-    """Order trend vectors; equal rows are ordered by URI and method."""
+    """Order trend vectors, by falling sum if no key is given; equal rows are ordered by URI and method."""
+    keys = list(keys) or ["sum:desc"]
     counts = F.col("counts")
     columns = {
         "method": F.col("method"),

@@ -87,3 +87,11 @@ def test_totals_agree(entries):
     log = entries(_log([3, 0, 5]))
     total = trend.endpoint_counts(log).agg(F.sum("count")).first()[0]
     assert trend.trend_counts(log, 7).agg(F.sum("count")).first()[0] == total == log.count()
+
+
+def test_no_sort_key_means_falling_sum(spark):
+    from hitpath.operators.trend import sort_trend
+
+    rows = [("a", "GET", "/a", 1, [1]), ("b", "GET", "/b", 3, [3]), ("c", "GET", "/c", 2, [2])]
+    vectors = spark.createDataFrame(rows, "endpoint string, method string, uri string, sum long, counts array<long>")
+    assert [r.uri for r in sort_trend(vectors, []).collect()] == ["/b", "/c", "/a"]
