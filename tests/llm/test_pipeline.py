@@ -1,0 +1,20 @@
+"""The pipeline: stages keep the columns of documents, and the last row set follows from the operators' decisions."""
+
+import sentencepiece
+from public_tokenizers import path
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline(spark, documents):
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == documents.columns, name
+        docs = corpus_pipeline.written(kept, name)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    want = [(r.doc_id, r.source, sp.encode(r.text, add_bos=True, add_eos=True)) for r in docs.collect()]
+    got = [(r.doc_id, r.source, r.ids) for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and want
