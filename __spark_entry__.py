@@ -292,7 +292,8 @@ def transition_edges(spark, sf):
 
 
 def transition_matrix(spark, sf):
-    matrix = transition.transition_matrix(transition.transition_edges(_events(spark, sf)))
+    events = _events(spark, sf)
+    matrix = transition.transition_matrix(transition.transition_edges(events), transition.endpoint_names(events))
     return matrix.withColumnRenamed("", "(end)")
 
 
@@ -306,7 +307,8 @@ def transition_nodes(spark, sf):
 
 
 def transition_graph_edges(spark, sf):
-    edges = graph.transition_graph_edges(transition.transition_edges(_events(spark, sf)))
+    events = _events(spark, sf)
+    edges = graph.transition_graph_edges(transition.transition_edges(events), graph.requests(events))
     return _rounded(edges, "weight", "pen_width", "intensity")
 
 
@@ -361,11 +363,13 @@ def scenarios_events(spark, sf):
 
 
 def scenario_nodes(spark, sf):
-    return _rounded(graph.scenario_nodes(scenario.scenarios(_talks(spark, sf))), "intensity")
+    talks = _talks(spark, sf)
+    return _rounded(graph.scenario_nodes(scenario.scenarios(talks), scenario.user_count(talks)), "intensity")
 
 
 def scenario_edges(spark, sf):
-    return _rounded(graph.scenario_edges(scenario.scenarios(_talks(spark, sf))), "pen_width", "intensity")
+    talks = _talks(spark, sf)
+    return _rounded(graph.scenario_edges(scenario.scenarios(talks), scenario.user_count(talks)), "pen_width", "intensity")
 
 
 # --- Streams -----------------------------------------------------------------

@@ -29,13 +29,20 @@ def transition_nodes(counts: DataFrame) -> DataFrame:
     )
 
 
-def transition_graph_edges(edges: DataFrame) -> DataFrame:
+def requests(entries: DataFrame) -> Column:
+    """The number of requests as a scalar subquery."""
+    return entries.agg(F.count("*").alias("total")).scalar()
+
+
+def transition_graph_edges(edges: DataFrame, total: Column | None = None) -> DataFrame:
     """Edges with weight, pen width and intensity; ``start`` and ``end`` named.
 
-    Every request is the target of exactly one edge, so the edges into real
-    endpoints add up to the number of requests.
+    Every request is the target of exactly one edge, so ``total`` is the number
+    of requests, a plain count of the entries. Without it the edges into real
+    endpoints are added up, for which they are computed a second time.
     """
-    total = _total(edges, F.when(F.col("target") != "", F.col("count")))
+    if total is None:
+        total = _total(edges, F.when(F.col("target") != "", F.col("count")))
     sized = edges.withColumn("total", total)
     named = lambda name, mark: F.when(F.col(name) == "", mark).otherwise(F.col(name))
     count, whole = F.col("count"), F.col("total")
@@ -50,39 +57,39 @@ def transition_graph_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def _shares(scenarios: DataFrame) -> DataFrame:
-    total = _total(scenarios, F.col("count"))
+def _shares(scenarios: DataFrame, total: Column | None) -> DataFrame:
+    if total is None:
+        total = _total(scenarios, F.col("count"))
     return scenarios.select(
         F.col("pattern").alias("scenario"), "leaves", "loops", "count", total.alias("total")
     ).withColumn("intensity", intensity(F.col("count"), F.col("total")))
 
 
-def scenario_nodes(scenarios: DataFrame) -> DataFrame:
+def scenario_nodes(scenarios: DataFrame, total: Column | None = None) -> DataFrame:
     """One node per leaf of each scenario, plus its ``start`` and ``end``.
 
     Leaves are numbered from 0; ``start`` and ``end`` have no position.
+    ``total`` is the number of users, see ``scenario.user_count``; without it
+    the scenarios are computed a second time to add up their users.
     """
-    shared = _shares(scenarios)
-    leaves = shared.select(
-        "scenario", F.posexplode("leaves").alias("position", "label"), "intensity"
-    )
-    ends = shared.select(
-        "scenario",
-        F.lit(None).cast("int").alias("position"),
-        F.explode(F.array(F.lit("start"), F.lit("end"))).alias("label"),
-        F.lit(None).cast("double").alias("intensity"),
+    node = lambda position, label, shade: F.struct(
+        position.cast("int").alias("position"), label.alias("label"), shade.cast("double").alias("intensity")
     )
-    return leaves.unionByName(ends)
+    none = F.lit(None)
+    leaves = F.transform("leaves", lambda label, i: node(i, label, F.col("intensity")))
+    ends = F.array(node(none, F.lit("start"), none), node(none, F.lit("end"), none))
+    return _shares(scenarios, total).select("scenario", F.inline(F.concat(leaves, ends)))
 
 
-def scenario_edges(scenarios: DataFrame) -> DataFrame:
+def scenario_edges(scenarios: DataFrame, total: Column | None = None) -> DataFrame:
     """Forward edges between neighbouring leaves and a back edge per loop.
 
     ``source`` and ``target`` are leaf positions as text, or ``start`` and
     ``end``. ``in_reference`` is false for the back edge of a loop that begins
     the pattern without spanning it, which classic drawings leave out.
+    ``total`` is as for :func:`scenario_nodes`.
     """
-    shared = _shares(scenarios).withColumn("pen_width", F.col("count") * 10 / F.col("total") + 1)
+    shared = _shares(scenarios, total).withColumn("pen_width", F.col("count") * 10 / F.col("total") + 1)
     size = F.size("leaves")
     edge = lambda a, b, weight, drawn: F.struct(
         a.cast("string").alias("source"),

@@ -1,138 +1,141 @@
 """Row order within a user, computed so that no user needs a task of its own.
 
 The rows of a user are ordered by ``(time, ord)``. A plain window over ``uid``
-sends all rows of a user to one task, which is fine until one user makes a
-large part of the log. Such *hot* users are found by a count, and their
-timeline is cut into one-second chunks. Windows run per ``(uid, chunk)``; only
-the first and last row of a chunk take part in a second step that links the
-chunks of a user. All other users have a single chunk.
+sends all rows of a user to one task, which fails when one user makes a large
+part of the log. Every user's timeline is therefore cut into slices of fixed
+length. Windows run per ``(uid, slice)``; what leaves a slice for the window
+over ``uid`` is at most two rows, so a user has no more of them there than twice
+the slices of the logged time, however many requests they made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A user is hot with more rows than this ...
-HOT_ROWS = 1_000_000
-# ... and more than this share of all rows, so there are at most 100,000.
-HOT_SHARE = 1e-5
+# Seconds a slice lasts. Shorter slices split busy users further, longer ones
+# send fewer rows into the second window.
+SLICE_S = 60
 
 
-def hot_users(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The users with more than ``hot_rows`` rows and ``HOT_SHARE`` of them all."""
-    counts = rows.groupBy("uid").agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("total")).scalar()
-    return counts.where((F.col("_rows") > hot_rows) & (F.col("_rows") > total * F.lit(HOT_SHARE))).select(
-        "uid", F.lit(True).alias("_hot")
-    )
-
-
-def with_chunk(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``chunk``: the second of a hot user's row, 0 for other users.
-
-    The share a hot user must exceed bounds the list of them, so it can be
-    broadcast.
-    """
-    marked = rows.join(F.broadcast(hot_users(rows, hot_rows)), "uid", "left")
-    return marked.withColumn("chunk", F.when(F.col("_hot"), F.unix_seconds("time")).otherwise(F.lit(0))).drop("_hot")
+def time_slice(slice_s: int = SLICE_S) -> Column:
+    """The slice a row falls into; a row without a time has none."""
+    if slice_s <= 0:
+        raise ValueError(f"slices need a positive length in seconds, not {slice_s}")
+    return F.floor(F.unix_seconds("time") / F.lit(slice_s))
 
 
-def chunk_window() -> Window:
-    return Window.partitionBy("uid", "chunk").orderBy("time", "ord")
+def slice_window() -> Window:
+    return Window.partitionBy("uid", "slice").orderBy("time", "ord")
 
 
-def consecutive_pairs(rows: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each pair of neighbouring values of a user, as ``(previous, following)``.
+def consecutive_pairs(rows: DataFrame, value: str, slice_s: int = SLICE_S) -> DataFrame:
+    """How often a user has two neighbouring values: ``(previous, following, count)``.
 
     The first value of a user has a NULL ``previous``, the last one a NULL
-    ``following``. ``rows`` needs ``uid``, ``time``, ``ord`` and ``value``.
+    ``following``. A pair may come in several rows whose counts add up.
+    ``rows`` needs ``uid``, ``time``, ``ord`` and ``value``, which is not NULL.
     """
-    rows = with_chunk(rows.select("uid", "time", "ord", F.col(value).alias("here")), hot_rows)
-    linked = rows.select(
+    w = slice_window()
+    linked = rows.select("uid", "time", "ord", F.col(value).alias("here"), time_slice(slice_s).alias("slice")).select(
+        "uid", "slice", "here", F.lag("here").over(w).alias("before"), F.lead("here").over(w).isNull().alias("last")
+    )
+    # Pairs inside slices leave their user behind and are counted before the
+    # shuffle; the first and last row of a slice go on under their user.
+    first = F.col("before").isNull()
+    inner = F.struct(
+        F.lit(None).cast(linked.schema["uid"].dataType).alias("uid"),
+        F.lit(None).cast("bigint").alias("slice"),
+        F.col("before").alias("previous"),
+        F.col("here").alias("following"),
+        F.lit(False).alias("first"),
+        F.lit(False).alias("last"),
+    )
+    edge = F.struct(
         "uid",
-        "chunk",
-        "here",
-        F.lag("here").over(chunk_window()).alias("before"),
-        F.lead("here").over(chunk_window()).alias("after"),
+        "slice",
+        F.lit(None).cast("string").alias("previous"),
+        F.col("here").alias("following"),
+        first.alias("first"),
+        "last",
     )
-    inside = linked.where(F.col("before").isNotNull()).select(
-        F.col("before").alias("previous"), F.col("here").alias("following")
+    parts = F.array_compact(F.array(F.when(~first, inner), F.when(first | F.col("last"), edge)))
+    found = linked.select(F.inline(parts))
+    counted = found.groupBy(*found.columns).agg(F.count("*").alias("count"))
+
+    # An inner pair has no neighbours in this window: its pair is part of the key.
+    pair = F.when(~F.col("first") & ~F.col("last"), F.struct("previous", "following"))
+    timeline = Window.partitionBy("uid", pair).orderBy("slice", F.desc("first"))
+    near = counted.withColumns(
+        {"_before": F.lag("following").over(timeline), "_end": F.lead("following").over(timeline).isNull()}
     )
-
-    # One row per chunk edge; a chunk of one row is both its first and last.
-    edges = linked.where(F.col("before").isNull() | F.col("after").isNull())
-    first = F.max(F.when(F.col("before").isNull(), F.col("here"))).alias("first")
-    last = F.max(F.when(F.col("after").isNull(), F.col("here"))).alias("last")
-    chunks = edges.groupBy("uid", "chunk").agg(first, last)
-    timeline = Window.partitionBy("uid").orderBy("chunk")
-    links = chunks.select(
-        F.col("first"), F.col("last"),
-        F.lag("last").over(timeline).alias("before"),
-        F.lead("first").over(timeline).alias("after"),
+    step = lambda previous, following: F.struct(
+        previous.alias("previous"), following.alias("following"), F.col("count")
     )
-    between = links.select(
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.col("before").alias("previous"), F.col("first").alias("following")),
-                    F.when(
-                        F.col("after").isNull(),
-                        F.struct(F.col("last").alias("previous"), F.lit(None).cast("string").alias("following")),
-                    ),
-                )
-            )
-        ).alias("pair")
-    ).select("pair.*")
-    return inside.unionByName(between)
-
-
-def with_position(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    steps = F.array_compact(
+        F.array(
+            F.when(pair.isNotNull(), step(F.col("previous"), F.col("following"))),
+            F.when(F.col("first"), step(F.col("_before"), F.col("following"))),
+            F.when(F.col("last") & F.col("_end"), step(F.col("following"), F.lit(None).cast("string"))),
+        )
+    )
+    return near.select(F.inline(steps))
+
+
+def with_position(rows: DataFrame, since: str | None = None, slice_s: int = SLICE_S) -> DataFrame:
     """Add ``position``, the 0-based rank of a row within its user.
 
-    The rank within the chunk is offset by the sizes of the chunks before it.
-    Only chunks of hot users have any, and the last row of a chunk tells its
-    size, so the offsets come from the same shuffled rows.
+    With ``since``, a boolean column, a user's rows count from the last one for
+    which it is true; rows before it are left out, and so are users without
+    such a row. Rows are ranked within their slice, one row per slice tells how
+    many it keeps, and the rows take the start of their slice from it; they are
+    shuffled by slice, never by user alone.
     """
-    w = chunk_window()
-    ranked = with_chunk(rows, hot_rows).withColumns(
-        {"_rank": F.row_number().over(w), "_last": F.lead("chunk").over(w).isNull()}
-    )
-    before = Window.partitionBy("uid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ranked.where("_last")
-        .select("uid", "chunk", F.sum("_rank").over(before).alias("_start"))
-        .where(F.col("_start").isNotNull())
+    ranked = rows.withColumn("slice", time_slice(slice_s)).withColumn("_rank", F.row_number().over(slice_window()))
+    begins = F.max(F.when(F.col(since), F.col("_rank"))) if since else F.lit(None).cast("int")
+    slices = ranked.groupBy("uid", "slice").agg(F.count("*").alias("_rows"), begins.alias("_begins"))
+    user = Window.partitionBy("uid")
+    timeline = user.orderBy("slice")
+    if since:
+        last = F.max(F.when(F.col("_begins").isNotNull(), F.col("slice"))).over(user)
+        slices = slices.withColumn("_last", last).where(F.col("slice") >= F.col("_last"))
+        skipped = F.when(F.col("slice") == F.col("_last"), F.col("_begins") - 1).otherwise(F.lit(0))
+    else:
+        skipped = F.lit(0)
+    slices = slices.withColumn("_skipped", skipped).select(
+        "uid",
+        "slice",
+        "_skipped",
+        F.coalesce(
+            F.sum(F.col("_rows") - F.col("_skipped")).over(timeline.rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0).cast("bigint"),
+        ).alias("_start"),
     )
-    position = F.coalesce("_start", F.lit(0).cast("bigint")) + F.col("_rank") - 1
-    return ranked.join(starts, ["uid", "chunk"], "left").select(*rows.columns, position.alias("position"))
+    kept = ranked.join(slices, ["uid", "slice"]).where(F.col("_rank") > F.col("_skipped"))
+    position = F.col("_start") + F.col("_rank") - F.col("_skipped") - 1
+    return kept.select(*rows.columns, position.alias("position"))
 
 
-def without_long_runs(rows: DataFrame, value: str, reset: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Drop rows of hot users from the middle of a run of one repeated value.
+def without_long_runs(rows: DataFrame, value: str, reset: str) -> DataFrame:
+    """Drop the middle of each run of one repeated value, leave rows in order.
 
-    Of each run within a chunk the first two rows and the last one stay.
-    Folding gives the same pattern for two repetitions as for any larger
-    number, so this changes no result; it takes the bulk out of users who
-    request one thing over and over. Rows of other users pass unshuffled.
+    The first two rows of a run and its last one stay, and so does each row
+    with ``reset`` set and the one after it. Folding gives the same pattern for
+    two repetitions as for any larger number, so this changes no result.
+    The rows come partitioned by user and sorted by user, time and ``ord``.
     """
-    hot = F.broadcast(hot_users(rows, hot_rows).select("uid"))
-    w = chunk_window()
-    near = (
-        rows.join(hot, "uid", "left_semi")
-        .withColumn("chunk", F.unix_seconds("time"))
-        .withColumns(
-            {
-                "_p1": F.lag(value, 1).over(w),
-                "_p2": F.lag(value, 2).over(w),
-                "_n1": F.lead(value, 1).over(w),
-                "_r1": F.lag(reset, 1).over(w),
-            }
-        )
+    w = Window.partitionBy("uid").orderBy("time", "ord")
+    near = rows.repartition("uid").withColumns(
+        {
+            "_p1": F.lag(value, 1).over(w),
+            "_p2": F.lag(value, 2).over(w),
+            "_n1": F.lead(value, 1).over(w),
+            "_r1": F.lag(reset, 1).over(w),
+        }
     )
     same = F.col(value)
     middle = (
         (same == F.col("_p1")) & (same == F.col("_p2")) & (same == F.col("_n1")) & ~F.col(reset) & ~F.col("_r1")
     )
     thinned = near.where(~F.coalesce(middle, F.lit(False))).select(*rows.columns)
-    return rows.join(hot, "uid", "left_anti").unionByName(thinned)
+    return thinned.sortWithinPartitions("uid", "time", "ord")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hitpath.functions.fold import Folder, nests, pattern_text
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros, offset_ms
-from hitpath.operators.ordering import HOT_ROWS, with_position, without_long_runs
+from hitpath.operators.ordering import SLICE_S, with_position, without_long_runs
 from hitpath.operators.trend import origin, period
 
 LATE_SHARE = 0.95
@@ -62,6 +62,11 @@ def user_window(entries: DataFrame, share: float = LATE_SHARE) -> DataFrame:
     )
 
 
+def user_count(entries: DataFrame, share: float = LATE_SHARE) -> Column:
+    """How many users the scenarios of ``entries`` count, without folding any."""
+    return user_window(entries, share).agg(F.count("*").alias("users")).scalar()
+
+
 def orphan_users(entries: DataFrame) -> DataFrame:
     """Users none of whose requests set a user id, with their request count."""
     return (
@@ -72,19 +77,12 @@ def orphan_users(entries: DataFrame) -> DataFrame:
     )
 
 
-def sequences(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sequences(entries: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """The requests of each user from the last new user id on, in order.
 
     Long form, one row per request: a sequence is never gathered in one row.
     """
-    visits = _visits(entries)
-    resets = (
-        visits.where("set_new_uid").groupBy("uid").agg(F.max(F.struct("time", "ord")).alias("_reset"))
-    )
-    kept = visits.join(resets, "uid").where(F.struct("time", "ord") >= F.col("_reset"))
-    return with_position(kept.select("uid", "time", "ord", "endpoint"), hot_rows).select(
-        "uid", "position", "endpoint"
-    )
+    return with_position(_visits(entries), "set_new_uid", slice_s).select("uid", "position", "endpoint")
 
 
 def _fold_users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +118,14 @@ def _fold_users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([folded()], schema=schema)
 
 
-def user_patterns(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def user_patterns(entries: DataFrame) -> DataFrame:
     """The folded pattern of each user's sequence.
 
     Folding is sequential within a user by definition. Rows are streamed
     through it in order, so a task holds one folded pattern and never a whole
-    sequence, and long runs of one endpoint are thinned out before the rows of
-    a user come together.
+    sequence, and of long runs of one endpoint only the ends cross into Python.
     """
-    visits = without_long_runs(_visits(entries), "endpoint", "set_new_uid", hot_rows)
-    ordered = visits.repartition("uid").sortWithinPartitions("uid", "time", "ord")
+    ordered = without_long_runs(_visits(entries), "endpoint", "set_new_uid")
     rows = ordered.select("uid", micros(F.col("time")).alias("us"), "endpoint", "set_new_uid")
     return rows.mapInArrow(_fold_users, f"uid string, first_us bigint, last_us bigint, {_PATTERN}")
 
@@ -182,13 +178,11 @@ def _merge_compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pylist(merged(), schema=schema)
 
 
-def scenarios(
-    entries: DataFrame, share: float = LATE_SHARE, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def scenarios(entries: DataFrame, share: float = LATE_SHARE) -> DataFrame:
     """Scenarios with their first and last call and the number of users."""
     start = micros(origin(entries))
     ms = lambda us: F.call_function("div", us - start, F.lit(1000).cast("bigint"))
-    users = user_patterns(entries, hot_rows).select(
+    users = user_patterns(entries).select(
         ms(F.col("first_us")).alias("first_req_ms"), ms(F.col("last_us")).alias("last_req_ms"),
         "pattern", "leaves", "loops",
     )

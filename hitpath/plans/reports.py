@@ -25,6 +25,8 @@ def trend_report(
 
 def transition_matrix_report(entries: DataFrame, endpoints: list[str] | None = None) -> DataFrame:
     """The transition counts as a square table."""
+    if endpoints is None:
+        endpoints = transition.endpoint_names(entries)
     return transition.transition_matrix(transition.transition_edges(entries), endpoints)
 
 

@@ -38,9 +38,43 @@ def test_top_values_are_cut_before_the_shuffle(spark):
     assert plan(entry.queries()["param_top_values"](spark, SF)).count("WindowGroupLimit") == 2
 
 
+def without_initial_plans(text):
+    """A plan as executed: nested initial plans are skipped, what follows them is kept."""
+    kept, skip = [], None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if skip is not None and (depth > skip or "== Initial Plan ==" in line):
+            continue
+        skip = None
+        if "== Initial Plan ==" in line:
+            skip = line.index("+-")
+        else:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def _final(df):
     df.collect()
-    return plan(df).split("== Initial Plan ==")[0]
+    return without_initial_plans(plan(df))
+
+
+def test_nested_initial_plans_are_skipped_not_cut_at():
+    text = """AdaptiveSparkPlan isFinalPlan=true
++- == Final Plan ==
+   ResultQueryStage 1
+   +- *(1) Project [Subquery subquery#1]
+      :  +- Subquery subquery#1
+      :     +- AdaptiveSparkPlan isFinalPlan=true
+      :        +- == Final Plan ==
+      :           FileScan inner
+      :        +- == Initial Plan ==
+      :           FileScan planned
+      +- FileScan outer
++- == Initial Plan ==
+   Project
+   +- FileScan planned"""
+    kept = without_initial_plans(text)
+    assert "inner" in kept and "outer" in kept and "planned" not in kept
 
 
 @pytest.mark.parametrize("name", ["param_top_values_events", "query_combo_top", "transition_nodes"])
@@ -53,9 +87,27 @@ def test_parameter_statistics_scan_once(spark):
     assert _final(entry.queries()["param_stat_events"](spark, SF)).count("FileScan") == 1
 
 
-def test_transitions_read_the_log_once_after_the_hot_user_count(spark):
-    text = _final(entry.queries()["transition_edges"](spark, SF))
-    assert text.count("ReusedExchange") >= 1 and text.count("FileScan") <= 3
+@pytest.mark.parametrize(
+    "name, scans",
+    [("transition_edges", 1), ("transition_matrix", 1), ("transition_graph_edges", 2), ("scenario_sequences", 3)],
+)
+def test_transitions_scan_the_log_once_per_use(spark, name, scans):
+    """The total of the graph is one plain count; positions read the rows, their slices and the first event of users."""
+    assert _final(entry.queries()[name](spark, SF)).count("FileScan") <= scans
+
+
+@pytest.mark.parametrize("name", ["scenarios", "scenarios_events", "scenario_nodes", "scenario_edges"])
+def test_one_fold_and_one_merge(spark, name):
+    assert _final(entry.queries()[name](spark, SF)).count("MapInArrow") == 2
+
+
+def test_sequences_are_not_shuffled_by_user_alone(spark):
+    """Only one summary row per slice is."""
+    text = plan(entry.queries()["scenario_sequences"](spark, SF))
+    assert "hashpartitioning(uid" in text
+    for line, below in zip(text.splitlines(), text.splitlines()[1:]):
+        if re.search(r"hashpartitioning\(uid#\d+L?, \d+\)", line):
+            assert "_rows" in below or "HashAggregate" in below, below
 
 
 def test_counting_aggregates_before_the_shuffle(spark):

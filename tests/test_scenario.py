@@ -116,24 +116,21 @@ def _plain_scenarios(log):
     return sorted((lo, hi, count, pattern_text(leaves, loops)) for leaves, loops, count, lo, hi in kept)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 40, 10**6])
-def test_against_a_plain_program(entries, hot_rows):
+def test_against_a_plain_program(entries):
     rnd = random.Random(5)
     log = _random_log(21, users=40, n=260, hot=0.3, seconds=50)
     extra = [s for i in range(30) for s in _steps(f"s{i}", rnd.choice(["AB", "ABAB", "AAB", "ABB", "ABC", "ABCBC", "ABABC"]), rnd.randrange(30))]
     log = sorted(log + extra, key=lambda row: row[0])
-    got = scenario.scenarios(entries(log), hot_rows=hot_rows)
+    got = scenario.scenarios(entries(log))
     assert sorted(rows(got, "first_req_ms", "last_req_ms", "count", "pattern")) == _plain_scenarios(log)
 
 
 def test_long_runs_of_a_hot_user_are_thinned(entries):
     log = [(i // 50, "GET /ping HTTP/1.1", "bot", i == 0) for i in range(400)] + [(9, "GET /done HTTP/1.1", "bot", False)]
     df = scenario._visits(entries(log))
-    thin = scenario.without_long_runs(df, "endpoint", "set_new_uid", hot_rows=10)
-    assert thin.count() == 8 * 3 + 1
-    assert scenario.without_long_runs(df, "endpoint", "set_new_uid").count() == 401
-    for hot_rows in (10, 10**6):
-        assert rows(scenario.user_patterns(entries(log), hot_rows), "pattern") == [("(GET /ping)* -> GET /done",)]
+    thin = scenario.without_long_runs(df, "endpoint", "set_new_uid")
+    assert thin.count() == 4
+    assert rows(scenario.user_patterns(entries(log)), "pattern") == [("(GET /ping)* -> GET /done",)]
 
 
 def test_graph_tables(entries):

@@ -66,17 +66,17 @@ def _expected_edges(log):
     return edges
 
 
-@pytest.mark.parametrize("hot_rows", [0, 60, 10**6])
-def test_hot_users_change_nothing(entries, hot_rows):
+@pytest.mark.parametrize("slice_s", [1, 7, 60, 10**6])
+def test_slices_change_nothing(entries, slice_s):
     log = _random_log(7)
-    got = {(s, t): c for s, t, c in rows(transition_edges(entries(log), hot_rows))}
+    got = {(s, t): c for s, t, c in rows(transition_edges(entries(log), slice_s))}
     assert got == dict(_expected_edges(log))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 60, 10**6])
-def test_positions(entries, hot_rows):
+@pytest.mark.parametrize("slice_s", [1, 7, 60, 10**6])
+def test_positions(entries, slice_s):
     log = _random_log(8, n=120)
-    df = ordering.with_position(entries(log).select("uid", "time", "ord"), hot_rows)
+    df = ordering.with_position(entries(log).select("uid", "time", "ord"), slice_s=slice_s)
     seen, want = Counter(), []
     for i, (_, _, uid, _) in enumerate(log):
         want.append((i, seen[uid]))
@@ -106,7 +106,22 @@ def test_flow_is_conserved(entries):
     assert into == out and out[""] == 7
 
 
-def test_at_most_a_bounded_number_of_users_is_hot(entries):
-    log = entries(_random_log(11))
-    assert rows(ordering.hot_users(log, 100), "uid") == [("hot",)]
-    assert ordering.hot_users(log).count() == 0
+@pytest.mark.parametrize("slice_s", [1, 7, 10**6])
+def test_positions_since_the_last_marked_row(entries, slice_s):
+    log = _random_log(12, n=150)
+    log = [(second, req, uid, new or i % 13 == 0) for i, (second, req, uid, new) in enumerate(log)]
+    df = entries(log)
+    sequence = {}
+    for i, (_, _, uid, new) in enumerate(log):
+        if new:
+            sequence[uid] = []
+        if uid in sequence:
+            sequence[uid].append(i)
+    want = sorted((i, n) for found in sequence.values() for n, i in enumerate(found))
+    got = ordering.with_position(df.select("uid", "time", "ord", "set_new_uid"), "set_new_uid", slice_s)
+    assert sorted(rows(got, "ord", "position")) == want
+
+
+def test_slices_need_a_length(entries):
+    with pytest.raises(ValueError, match="positive"):
+        transition_edges(entries(_random_log(11)), 0)
