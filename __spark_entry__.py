@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import importlib.util
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -380,27 +382,38 @@ def _stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def _folders(spark):
+    """New folders for the output and the checkpoint of a stream.
+
+    Where the session names no shared folder, as in tests, this machine is all there is.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hitpath-")
+    run = f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{run}/out", f"{run}/checkpoint"
+
+
 def stream_trend_days(spark, sf):
     found = stream_trend.windowed_counts(event_requests(_stream(spark, sf)), DAY, "1 hour")
-    return stream_trend.run_append(found).select(
+    return stream_trend.run_append(found, *_folders(spark)).select(
         "endpoint", F.unix_seconds("window_start").alias("window_s"), "count"
     )
 
 
 def stream_transition_edges(spark, sf):
+    stream_transitions.use_rocksdb(spark)
     steps = stream_transitions.steps(event_requests(_stream(spark, sf)))
-    done = stream_trend.run_append(steps)
+    done = stream_trend.run_append(steps, *_folders(spark))
     return done.groupBy("source", "target").agg(F.count("*").alias("count"))
 
 
 def stream_endpoint_counts(spark, sf):
     found = stream_counts.endpoint_counts(event_requests(_stream(spark, sf)))
-    return stream_counts.run_complete(found).select("endpoint", "count")
+    return stream_counts.run_complete(found, *_folders(spark)).select("endpoint", "count")
 
 
 def stream_param_counts(spark, sf):
     found = stream_counts.query_value_counts(event_requests(_stream(spark, sf)))
-    return stream_counts.run_complete(found).select("endpoint", "key", "value", "count")
+    return stream_counts.run_complete(found, *_folders(spark)).select("endpoint", "key", "value", "count")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

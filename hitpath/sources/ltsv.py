@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,20 +150,32 @@ def read_ltsv(spark: SparkSession, paths: str | list[str], **options) -> DataFra
     return parse_lines(lines, **options)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append the number of the row within its task, so within each split rows rise in line order."""
+    start = 0
+    for batch in batches:
+        rows = pa.array(range(start, start + batch.num_rows), pa.int64())
+        start += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "row"])
+
+
 def stream_ltsv(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, **options) -> DataFrame:
     """New LTSV files in a folder as a stream of entries.
 
-    A stream cannot number its rows, so ``ord`` tells files and splits apart
-    but not the lines of one split.
+    ``ord`` keeps the order of lines as :func:`read_ltsv` does. Spark numbers
+    no rows in a stream, so the tasks that read the lines count them.
     """
     reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(path).select(
-        "value",
-        F.struct(
+    lines = (
+        reader.text(path)
+        .select(
+            "value",
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
-        ).alias("ord"),
+        )
+        .mapInArrow(_numbered, "value string, path string, block bigint, row bigint")
+        .select("value", F.struct("path", "block", "row").alias("ord"))
     )
     return parse_lines(lines, **options)

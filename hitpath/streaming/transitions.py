@@ -8,18 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros
 
 _STEPS = "uid string, source string, target string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _LastVisit(StatefulProcessor):
     """Links each visit to the user's previous one."""
 
-    def __init__(self, idle_ms: int | None):
+    def __init__(self, order: list[str], idle_ms: int | None):
+        self._order = order
         self._idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -27,7 +30,7 @@ class _LastVisit(StatefulProcessor):
         self._last = handle.getValueState("last", "endpoint string, us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        visits = pd.concat(list(rows)).sort_values(["us", "ord"], kind="stable")
+        visits = pd.concat(list(rows)).sort_values(["us", *self._order], kind="stable")
         targets, times = visits["endpoint"], visits["us"]
         before, seen = self._last.get() if self._last.exists() else ("", times.iloc[0])
         steps = pd.DataFrame({"source": targets.shift(fill_value=before), "target": targets})
@@ -52,30 +55,40 @@ class _LastVisit(StatefulProcessor):
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """The state store this operator needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    """Choose the state store this operator needs, for all later streams of the session."""
+    spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
 def steps(entries: DataFrame, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
     """One row per step of a user, as it happens.
 
-    Rows of a user are ordered within a micro-batch; size batches with
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``. A stream has no end, so
-    exit steps need a rule: with ``idle_ms`` a user without a request for
-    longer than that gets a step to the empty target and starts anew. The last
-    exit of a user is written once the watermark has passed that time.
+    Rows of a user are ordered by time and ``ord`` within a micro-batch and are
+    held in memory together; size batches with ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger``. Between batches the state is one last endpoint per
+    user. A stream has no end, so exit steps need a rule: with ``idle_ms`` a
+    user without a request for longer than that gets a step to the empty
+    target and starts anew. The last exit of a user is written once the
+    watermark has passed that time.
+
+    The session must use the RocksDB state store, see :func:`use_rocksdb`.
     """
-    use_rocksdb(entries.sparkSession)
+    spark = entries.sparkSession
+    if spark.conf.get(_PROVIDER, "") != _ROCKSDB:
+        raise ValueError(f"steps need {_PROVIDER}={_ROCKSDB}; call use_rocksdb(spark) first")
     visits = entries if idle_ms is None else entries.withWatermark("time", delay)
+    # A struct would reach pandas as a dict, which has no order.
+    kind = entries.schema["ord"].dataType
+    fields = [F.col("ord")[name] for name in kind.names] if isinstance(kind, StructType) else [F.col("ord")]
+    order = [f"ord{i}" for i in range(len(fields))]
     rows = visits.select(
         F.col("uid").cast("string").alias("uid"),
         "time",
         micros(F.col("time")).alias("us"),
-        "ord",
+        *(field.alias(name) for field, name in zip(fields, order, strict=True)),
         endpoint().alias("endpoint"),
     )
     return rows.groupBy("uid").transformWithStateInPandas(
-        statefulProcessor=_LastVisit(idle_ms),
+        statefulProcessor=_LastVisit(order, idle_ms),
         outputStructType=_STEPS,
         outputMode="append",
         timeMode="none" if idle_ms is None else "eventTime",

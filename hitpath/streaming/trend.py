@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +34,10 @@ def windowed_counts(entries: DataFrame, interval: int, delay: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the setting is absent, as in local tests, a temporary folder of
-    this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hitpath-")
+    """A new folder under ``spark.checkpoint.dir``, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError(f"name a folder for the {purpose}, or set spark.checkpoint.dir to one all executors share")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import pytest
@@ -9,6 +10,13 @@ from hitpath.streaming import counts, transitions
 from hitpath.streaming.trend import run_append, windowed_counts
 
 
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    transitions.use_rocksdb(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 @pytest.fixture
 def folder(tmp_path, spark):
     """A folder of log files, one per ten seconds of the log."""
@@ -17,7 +25,9 @@ def folder(tmp_path, spark):
     source.mkdir()
     for i in range(5):
         part = [log_line(*row) for row in log if row[0] // 10 == i]
-        (source / f"{i}.log").write_text("\n".join(part) + "\n")
+        file = source / f"{i}.log"
+        file.write_text("\n".join(part) + "\n")
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # Streams take files by age.
     return log, str(source), tmp_path
 
 
@@ -52,6 +62,29 @@ def test_steps_carry_over_batches(spark, tmp_path):
     assert got == Counter({k: v for k, v in _expected_edges(log).items() if k[1]})
 
 
+def test_steps_of_log_files_follow_the_lines(folder, spark):
+    """Five files, ten seconds each, thirty lines in them: most lines share their second."""
+    log, source, tmp = folder
+    out = run_append(transitions.steps(stream(spark, source)), str(tmp / "out"), str(tmp / "ck"))
+    got = Counter(rows(out, "source", "target"))
+    assert got == Counter({k: v for k, v in _expected_edges(log).items() if k[1]})
+
+
+def test_steps_of_one_second_in_one_file(spark, tmp_path):
+    log = [(0, f"GET /{i % 7}{i % 11} HTTP/1.1", f"u{i % 3}", i < 3) for i in range(400)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.log").write_text("\n".join(log_line(*row) for row in log) + "\n")
+    out = run_append(transitions.steps(stream(spark, str(tmp_path / "in"))), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert Counter(rows(out, "source", "target")) == Counter({k: v for k, v in _expected_edges(log).items() if k[1]})
+
+
+def test_steps_leave_the_session_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError, match="use_rocksdb"):
+        transitions.steps(stream(spark, str(tmp_path / "in")))
+
+
 def test_idle_users_leave(spark, tmp_path):
     schema = "value string, ord bigint"
     parts = [[(0, "a"), (5, "b")], [(100, "b")], [(200, "b")]]
@@ -86,4 +119,5 @@ def test_scratch_follows_the_session(tmp_path):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf.get(key.replace(".", "_"), default)))
 
     assert scratch_dir(session(spark_checkpoint_dir=str(tmp_path)), "x").startswith(f"{tmp_path}/x-")
-    assert "hitpath-" in scratch_dir(session(), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session(), "x")
