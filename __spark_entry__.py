@@ -44,6 +44,7 @@ if _LLM:
     from hitpath.llm import queries as llm_queries
 
 DAY = 86400
+LANGUAGES = ("de", "en", "es", "fr", "ja", "zh")
 ROUTE = "^/(?P<lang>[a-z]{2})/([0-9]+)"
 ROUTES = ["^/en/([0-9]+)\\.html$", "^/(?P<lang>en|fr)/(?P<id>[0-9]+)", "^/(de)/"]
 FILTER = (
@@ -143,12 +144,10 @@ def route_groups(spark, sf):
 
 
 def route_groups_join(spark, sf):
-    """The routes come from a table: one per language that occurs in a path."""
-    pages = _pages(spark, sf)
-    language = F.regexp_extract("path", "^/([a-z]+)/", 1)
-    table = pages.select(F.concat(F.lit("^/"), language, F.lit("/([0-9]+)")).alias("pattern")).distinct()
-    routes = Routes.from_table(table, order="pattern")
-    return trend.endpoint_counts(apply_routes(pages, routes)).select("endpoint", "count")
+    """A given list of routes, one per language, taken from a configuration table."""
+    table = spark.createDataFrame([(i, f"^/{lang}/([0-9]+)") for i, lang in enumerate(LANGUAGES)], "route_id int, pattern string")
+    routes = Routes.from_table(table)
+    return trend.endpoint_counts(apply_routes(_pages(spark, sf), routes)).select("endpoint", "count")
 
 
 def path_params(spark, sf):
@@ -686,7 +685,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "route_groups_join": _with(
             _P,
-            """, routes AS (SELECT DISTINCT '^/' || regexp_extract(path, '^/([a-z]+)/', 1) || '/([0-9]+)' AS pattern FROM p),
+            """, routes AS (SELECT '^/' || unnest(['de', 'en', 'es', 'fr', 'ja', 'zh']) || '/([0-9]+)' AS pattern),
                hit AS (SELECT page_id, min(pattern) AS pattern FROM p JOIN routes ON regexp_matches(path, pattern) GROUP BY page_id)
                SELECT 'GET ' || coalesce(hit.pattern, path) AS endpoint, count(*) AS count
                FROM p LEFT JOIN hit USING (page_id) GROUP BY 1""",

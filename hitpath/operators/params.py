@@ -27,7 +27,7 @@ COMBO = ["method", "uri", "kind"]
 def _check_kind(kind: str) -> str:
     kind = kind.lower()
     if kind not in KINDS:
-        raise ValueError(f"type should be 'path', 'query' or 'all', but: {kind}")
+        raise ValueError(f"unknown kind {kind!r}: path, query or all")
     return kind
 
 
@@ -281,7 +281,7 @@ def order_params(stat: DataFrame) -> DataFrame:
 
 def _check_num(num: int) -> None:
     if num < 0:
-        raise ValueError(f"num should not be negative, but: {num}")
+        raise ValueError(f"num is negative: {num}")
 
 
 def _top(counts: DataFrame, keys: list[str], value: str, num: int) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import bucket
 
+# The names users sort by.
 SORT_KEYS = ("method", "uri", "sum", "count0", "count1", "countn")
 
 
 def _check(interval: int) -> None:
     if interval <= 0:
-        raise ValueError(f"interval should be positive, but: {interval}")
+        raise ValueError(f"an interval needs a positive number of seconds, not {interval}")
 
 
 def period(entries: DataFrame) -> DataFrame:
@@ -104,15 +105,21 @@ def trend_vectors(entries: DataFrame, interval: int) -> DataFrame:
     The vector has one element per bucket of the whole log: pick the interval
     with that in mind, or stay with :func:`trend_counts`.
     """
-    dense = trend_signals(entries, interval)
-    return (
-        dense.groupBy("endpoint", "method", "uri")
+    found = (
+        trend_counts(entries, interval)
+        .groupBy("endpoint", "method", "uri")
         .agg(
             F.sum("count").alias("sum"),
-            F.sort_array(F.collect_list(F.struct("step", "count"))).alias("_steps"),
+            F.sort_array(F.collect_list(F.struct("step", "count"))).alias("_hits"),
         )
-        .select("endpoint", "method", "uri", "sum", F.col("_steps.count").alias("counts"))
     )
+    # Only non-empty buckets are gathered; each brings the zeros before it.
+    hits = F.col("_hits")
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
+    before = lambda i: F.coalesce(F.get(hits, i - 1)["step"], F.lit(-1))
+    filled = F.transform(hits, lambda hit, i: F.concat(zeros(hit["step"] - before(i) - 1), F.array(hit["count"])))
+    tail = zeros(last_step(entries, interval) - F.element_at(hits, -1)["step"])
+    return found.select("endpoint", "method", "uri", "sum", F.concat(F.flatten(filled), tail).alias("counts"))
 
 
 def parse_sort(keys: Iterable[str]) -> list[tuple[str, bool]]:

@@ -19,7 +19,7 @@ def windowed_counts(entries: DataFrame, interval: int, delay: str) -> DataFrame:
     dropped.
     """
     if interval <= 0:
-        raise ValueError(f"interval should be positive, but: {interval}")
+        raise ValueError(f"an interval needs a positive number of seconds, not {interval}")
     return (
         entries.withWatermark("time", delay)
         .groupBy(F.window("time", f"{interval} seconds").alias("window"), "method", "uri")

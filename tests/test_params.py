@@ -182,7 +182,7 @@ def test_detail_report(routed):
 
 
 def test_options_are_checked(routed):
-    with pytest.raises(ValueError, match="type should be"):
+    with pytest.raises(ValueError, match="unknown kind"):
         params.param_stat(routed, ROUTES, "body")
     with pytest.raises(ValueError, match="num"):
         params.param_top_values(routed, ROUTES, num=-1)

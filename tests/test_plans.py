@@ -85,6 +85,10 @@ def test_shuffled_counts_are_reused(spark, name):
     assert text.count("ReusedExchange") == 1 and text.count("FileScan") <= 1
 
 
+def test_vectors_explode_no_empty_buckets(spark):
+    assert "Generate" not in plan(entry.queries()["trend_vector"](spark, SF))
+
+
 def test_parameter_statistics_scan_once(spark):
     assert _final(entry.queries()["param_stat_events"](spark, SF)).count("FileScan") == 1
 
