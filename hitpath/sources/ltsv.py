@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 from operator import or_
 
@@ -53,6 +53,13 @@ def _last(fields: Column, label: str) -> Column:
     return F.substr(field, F.lit(len(label) + 2))
 
 
+def _bad_before(fields: Column, label: str, parse: Callable[[Column], Column]) -> Column:
+    """Whether a repeated field with this label cannot be parsed; looked into only where it is repeated."""
+    found = _fields(fields, [label])
+    text = lambda f: F.substr(f, F.lit(len(label) + 2))
+    return F.when(F.size(found) > 1, F.exists(found, lambda f: parse(text(f)).isNull())).otherwise(F.lit(False))
+
+
 def _cookies(fields: Column, labels: list[str]) -> Column:
     """The fields with one of ``labels`` that hold a cookie.
 
@@ -75,8 +82,10 @@ def parse_lines(
 
     ``failfast`` raises on the first malformed line that is read,
     ``permissive`` keeps such lines with an ``error`` text, and
-    ``dropmalformed`` leaves them out. Blank lines are skipped. Parsing and
-    checks are built-in expressions, evaluated once per line.
+    ``dropmalformed`` leaves them out. Blank lines are skipped. Of a repeated
+    field the last one counts, but a status or time that cannot be read is an
+    error wherever it stands. Parsing and checks are built-in expressions,
+    evaluated once per line.
     """
     if mode not in MODES:
         raise ValueError(f"mode should be one of {MODES}, but: {mode}")
@@ -99,6 +108,8 @@ def parse_lines(
         F.coalesce(_last(fields, names["req"]), F.lit("")).alias("req"),
         _last(fields, names["status"]).alias("_status"),
         _last(fields, names["time"]).alias("_time"),
+        _bad_before(fields, names["status"], parse_status).alias("_bad_status"),
+        _bad_before(fields, names["time"], lambda v: parse_time(v, time_format)).alias("_bad_time"),
         F.try_element_at(_cookies(fields, [names["uidset"], names["uidgot"]]), F.lit(-1)).alias("_cookie"),
         (F.size(_cookies(fields, [names["uidset"]])) > 0).alias("set_new_uid"),
     )
@@ -112,8 +123,8 @@ def parse_lines(
     status, time = F.col("status"), F.col("time")
     error = (
         F.when(F.col("_unlabelled"), F.lit("field without a label"))
-        .when(status.isNull() & F.col("_status").isNotNull(), F.lit("bad status"))
-        .when(time.isNull() & F.col("_time").isNotNull(), F.lit("bad time"))
+        .when(F.col("_bad_status") | (status.isNull() & F.col("_status").isNotNull()), F.lit("bad status"))
+        .when(F.col("_bad_time") | (time.isNull() & F.col("_time").isNotNull()), F.lit("bad time"))
         .when(F.col("req") == "", F.lit("missing req"))
         .when(status.isNull() | (status == 0), F.lit("missing status"))
         .when(time.isNull(), F.lit("missing time"))

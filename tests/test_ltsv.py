@@ -45,6 +45,21 @@ def test_user_id(spark, cookies, uid, new):
     assert rows(parse(spark, [line]), "uid", "set_new_uid") == [(uid, new)]
 
 
+@pytest.mark.parametrize(
+    "head, tail, error",
+    [
+        ("", "\tstatus:404\tstatus:201", None),
+        ("status:2x\t", "", "bad status"),
+        ("", "\tstatus:2x\tstatus:200", "bad status"),
+        ("time:yesterday\t", "", "bad time"),
+        ("xstatus:2x\tstatus2:y\t", "", None),
+    ],
+)
+def test_each_of_repeated_labels_is_checked(spark, head, tail, error):
+    df = parse(spark, [head + GOOD + tail], mode="permissive")
+    assert rows(df, "error") == [(error,)]
+
+
 def test_last_of_repeated_labels_wins(spark):
     df = parse(spark, [GOOD + "\tstatus:404\treq:GET /x HTTP/1.1"])
     assert rows(df, "method", "uri", "status") == [("GET", "/x", 404)]
