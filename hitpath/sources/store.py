@@ -11,10 +11,14 @@ def write_entries(entries: DataFrame, path: str, mode: str = "errorifexists") ->
 
     Text has to be parsed in full on every scan; the Parquet copy lets the
     analyses read only the columns they use and skip days a filter on
-    ``date`` rules out. Rows keep their input order inside each file.
+    ``date`` rules out. Rows are brought together by day first, so a day has few
+    files; adaptive execution splits large days into several tasks. Rows are
+    in order of time and ``ord`` inside each file.
     """
     (
         entries.withColumn("date", F.to_date("time"))
+        .hint("rebalance", F.col("date"))
+        .sortWithinPartitions("date", "time", "ord")
         .write.mode(mode)
         .partitionBy("date")
         .parquet(path)
