@@ -74,6 +74,8 @@ class Route:
             return "("
         if m["end"]:
             return self._end
+        if m["special"] and re.match("[a-zA-Z]*U", m.string[m.end() :]):
+            raise ValueError(f"pattern {self.text!r}: the ungreedy flag U has another meaning in Java; use lazy repetition")
         if m["plain"]:
             self.groups.append("")
         return m[0]

@@ -54,6 +54,13 @@ def test_ends_and_dots_mean_the_whole_path(entries):
     assert rows(apply_routes(log, ["^/(a)$", "^/(b.c)$"]), "route_id") == [(None,), (0,), (1,)]
 
 
+def test_the_ungreedy_flag_is_refused():
+    for pattern in ("(?U)^/(a+)", "(?iU:^/(a+))"):
+        with pytest.raises(ValueError, match="ungreedy"):
+            Routes([pattern])
+    assert len(Routes([r"^/\(?U(x)", "(?i)^/(u)", r"(?:U)(x)"])) == 3
+
+
 def test_routes_from_table(spark):
     table = spark.createDataFrame([(2, "/b(x)"), (1, "/a(x)")], "route_id int, pattern string")
     assert [r.text for r in Routes.from_table(table).routes] == ["/a(x)", "/b(x)"]
