@@ -180,7 +180,7 @@ def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model:
     """
     total, frequency = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     draw = Window.partitionBy("lang").orderBy("h", "doc_id")
     picks = (
         rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))

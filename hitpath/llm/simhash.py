@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitpath.llm.common import components, local_roots, partitions, written
+from hitpath.llm.common import components, free_name, local_roots, partitions, written
 
 WORDS = 4
 RADIUS = 4
@@ -212,14 +212,15 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> D
     Rows that repeat an id are one document: the one whose columns come first
     in order stays. Rows with a null id cannot be named and all stay.
     """
+    name = free_name(docs.columns, "_kept")
     kept = (
         near_duplicates(docs, words, radius)
         .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("_kept"))
+        .select(F.col("doc_id").alias(name))
         .distinct()
     )
     rest = [c for c in docs.columns if c != "doc_id"]
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    known = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
     one = known.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
     whole = one.select(*(F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns))
     return whole.unionByName(docs.where("doc_id IS NULL"))

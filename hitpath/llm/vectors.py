@@ -98,6 +98,7 @@ def _points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed.where("v IS NOT NULL")
         .groupBy("h1", "h2")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     return keyed.select("vec_id", "h1", "h2"), points
 
@@ -137,7 +138,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     A point goes to a task for every pair of blocks it can have partners in, so
     a task holds two blocks at most. Tasks return, for every point with links,
     how many it has and one link of a spanning forest. Vectors of different
-    lengths are never compared.
+    lengths are never compared. Rows that repeat an id are vectors of their own,
+    and so are rows with a null id, which takes no part in naming components: a
+    component of null ids only has none.
     """
     spark = vectors.sparkSession
     keyed, found = _points(vectors)
@@ -151,20 +154,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     pairs = written(pairs, "vector-links")
     linked = pairs.groupBy("a").agg(F.sum("n").alias("linked"))
     groups = components(pairs.select("a", "b"))
-    classes = (
-        points.select("h1", "h2", "rep", "n")
-        .join(linked.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    # Points are named by number, as ids may repeat; the number is written with them and stays.
+    named = (
+        points.select("h1", "h2", "node", "rep", "n")
+        .join(linked.withColumnRenamed("a", "node"), "node", "left")
+        .join(groups, "node", "left")
         .select(
-            "h1", "h2",
+            "h1", "h2", "rep",
             (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component", "node").alias("component"),
         )
     )
+    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = named.join(names, "component").select("h1", "h2", "n_links", "component_id")
     own = F.coalesce("component_id", "vec_id")
     return keyed.join(classes, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"),
-        (F.col("vec_id") == own).alias("kept"),
+        F.col("vec_id").eqNullSafe(own).alias("kept"),
     )
 
 
@@ -208,16 +214,16 @@ def _pairs(points: DataFrame, n: int, threshold: float, block: int, parts: int)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(low * total + high), pa.array(own[row]), *taken.columns[:3]],
-                    names=["pair", "block", "rep", "n", "v"],
+                    names=["pair", "block", "node", "n", "v"],
                 )
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         low, high = divmod(key[0].as_py(), total)
         table = table.combine_chunks()
-        rep, copies = table["rep"].to_numpy(), table["n"].to_numpy()
+        node, copies = table["node"].to_numpy(), table["n"].to_numpy()
         x, own = _matrix(table["v"].combine_chunks()), table["block"].to_numpy()
         one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        degree, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        degree, root = np.zeros(len(node), np.int64), np.arange(len(node))
         if len(one) and len(two):
             for p, q in tile_links(x[one], None if low == high else x[two], threshold):
                 p, q = one[p], two[q]
@@ -226,12 +232,13 @@ def _pairs(points: DataFrame, n: int, threshold: float, block: int, parts: int)
                 if len(p):
                     root = _joined(root, p, q)
         at = np.flatnonzero(degree)
-        return pa.table({"a": rep[at], "b": rep[root[at]], "n": degree[at]})
+        return pa.table({"a": node[at], "b": node[root[at]], "n": degree[at]})
 
-    spread = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30))
+    spread = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30))
+    vector = points.schema["v"].dataType.simpleString()
     return (
-        points.select("rep", "n", "v", spread.alias("spread"))
-        .mapInArrow(deal, "pair long, block long, rep long, n long, v array<float>")
+        points.select("node", "n", "v", spread.alias("spread"))
+        .mapInArrow(deal, f"pair long, block long, node long, n long, v {vector}")
         .repartition(parts, "pair")
         .groupBy("pair")
         .applyInArrow(compare, "a long, b long, n long")

@@ -96,7 +96,10 @@ def test_one_of_each_group_stays(odd, documents):
     rows = got.collect()
     assert sorted(r.doc_id for r in rows) == sorted(want)
     assert set(rows) <= set(documents.collect())
-    assert sorted(map(str, (r.doc_id for r in simhash.deduplicated(odd).collect()))) == ["-9", "1", "4", "6", "7", "8", "None"]
+    odd = odd.withColumnRenamed("n_chars", "_kept").withColumn("_KEPT_", F.lit(7)).withColumn("_row", F.lit(8))
+    kept = simhash.deduplicated(odd)
+    assert kept.columns == odd.columns and {(r["_KEPT_"], r["_row"]) for r in kept.collect()} == {(7, 8)}
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["-9", "1", "4", "6", "7", "8", "None"]
 
 
 def check_vectors(df, threshold=0.95, **more):
@@ -137,6 +140,17 @@ def test_odd_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_without_or_with_repeated_ids(spark):
+    """Links run through rows with a null id, and rows that repeat an id stay apart."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(5, at(0)), (None, at(15)), (3, at(30)), (8, at(120)), (8, at(240)), (None, at(180)), (9, at(120))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(5, 1, 3, False), (None, 2, 3, False), (3, 1, 3, True), (8, 1, 8, True), (8, 0, 8, True), (None, 0, None, True),
+         (9, 1, 8, False)], key=str
+    )
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(2)
     u = rng.normal(size=(400, 48))
@@ -166,7 +180,7 @@ def test_language_of_odd_rows(spark, odd, empty, make_docs):
     assert langid.identify(empty).count() == 0
     none = make_docs([(i, "some text", None, "s") for i in range(9)])
     assert {(r.lang_pred, r.score) for r in langid.identify(none).collect()} == {("und", 0.0)}
-    kept = langid.accepted(odd.withColumn("score", F.lit(1)))
+    kept = langid.accepted(odd.withColumns({"_d": F.lit(1), "_l": F.lit(2), "score": F.lit(1)}))
     assert kept.columns[-1] == "score" and {r.doc_id for r in kept.collect()}.isdisjoint(blank)
 
 
