@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitpath.llm.common import free_name
+
 NEAR = 40
 LEAST_SCORE = 0.7
 SPAN = "array<struct<start:int,end:int,value:string,score:double>>"
@@ -80,8 +82,8 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _proposed(text: Column, kind: Kind) -> Column:
-    """All matches with their places in code points, from the pieces between them."""
+def _found(text: Column, kind: Kind) -> Column:
+    """The confirmed matches with their places in code points, from the pieces between matches."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), hits.alias("hit"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
@@ -90,7 +92,8 @@ def _proposed(text: Column, kind: Kind) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
         one = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        more = F.when(_confirmed(kind.name, pair["hit"]), F.concat(acc["found"], F.array(one)))
+        return F.struct(end.alias("at"), F.coalesce(more, acc["found"]).alias("found"))
 
     return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), empty, step, lambda acc: acc["found"])
 
@@ -107,8 +110,7 @@ def spans(text: Column, kind: Kind, least: float = LEAST_SCORE, near: int = NEAR
         score = F.lit(0.5 + checked) + F.when(around.rlike(kind.words), 0.2).otherwise(0.0)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
-    good = F.filter(_proposed(text, kind), lambda s: _confirmed(kind.name, s["value"]))
-    found = F.transform(good, scored)
+    found = F.transform(_found(text, kind), scored)
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= least)
     there = F.contains(text, F.lit(kind.guard)) if kind.guard == "@" else text.rlike(kind.guard)
@@ -145,14 +147,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, the longest of spans that begin together.
 
     A span that begins inside one already replaced is merged into it. A null
-    text stays null. Columns and rows stay as they are.
+    text stays null. Other columns and the rows stay as they are.
     """
+    all_ = free_name(docs.columns, "_pii")
 
     def named(name: str) -> Column:
         place = lambda s: F.struct(
             s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{name}]").alias("tag")
         )
-        return F.transform(f"pii_{name}", place)
+        return F.transform(F.col(all_)[name], place)
 
     every = F.array_sort(F.concat(*(named(k.name) for k in KINDS)))
     text = F.col("text")
@@ -166,7 +169,8 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    found = detect(docs)
-    any_ = reduce(lambda a, b: a | b, (F.size(f"pii_{k.name}") > 0 for k in KINDS))
+    whole = F.coalesce(text, F.lit(""))
+    found = docs.withColumn(all_, F.struct(*(spans(whole, k).alias(k.name) for k in KINDS)))
+    any_ = reduce(lambda a, b: a | b, (F.size(F.col(all_)[k.name]) > 0 for k in KINDS))
     clean = F.when(any_, F.aggregate(every, begin, step, rest)).otherwise(text)
     return found.withColumn("text", clean).select(*docs.columns)

@@ -121,6 +121,7 @@ def test_redaction(make_docs):
     docs = make_docs(rows).withColumnRenamed("n_chars", "pii_email")
     got = pii.redact(docs)
     assert got.columns == docs.columns
+    assert {r.doc_id: r.pii_email for r in got.collect()} == {r.doc_id: r.pii_email for r in docs.collect()}
     assert {r.doc_id: r.text for r in got.collect()} == {
         1: "to \U0001f600 [email], or [phone]!", 2: None, 3: "none", 4: "[card]", 5: "[email]",
     }
