@@ -259,10 +259,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's place in the stream of all ids, their number and checksum, from the files."""
     dictionary = dictionary_of(spark, folder)
     shards = spark.read.parquet(f"{folder}/shards")
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select(
-        "part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before")
-    )
+    # Places within a part, and before it: there are a few parts for each partition of a shuffle.
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = shards.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("inside"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    ahead = parts.select("part", before(Window.orderBy("part")).alias("ahead"))
+    starts = inside.join(ahead, "part").select("part", "shard", (F.col("ahead") + F.col("inside")).alias("before"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
