@@ -621,6 +621,71 @@ SELECT uid, first_req_ms, last_req_ms FROM f
 WHERE first_req_ms <= (SELECT floor(((max(us) - min(us)) // 1000)::DOUBLE * {share}::DOUBLE) FROM e)"""
 )
 
+# the fold of every user's sequence, one request a step: a word and its loops, both ends included. Of the sizes z at
+# which the last z leaves repeat the z before them, the least one counts whose cut lies inside no loop, whose first
+# copy no loop enters from the left, and whose copies have no loops that cross when laid over each other.
+_FOLD = (
+    _E
+    + """,
+q AS (SELECT uid, endpoint, row_number() OVER (PARTITION BY uid ORDER BY us, ord) AS k FROM e),
+fold AS (
+  SELECT DISTINCT uid, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS w,
+         CAST([] AS STRUCT(lo BIGINT, hi BIGINT)[]) AS loops FROM q
+  UNION ALL
+  SELECT uid, k, CASE WHEN z IS NULL THEN w ELSE w[1 : len(w) - z] END,
+         CASE WHEN z IS NULL THEN loops ELSE list_distinct(list_concat(
+           list_filter(loops, lambda l: l.hi <= len(w) - z),
+           list_transform(list_filter(loops, lambda l: l.lo > len(w) - z),
+                          lambda l: {'lo': CAST(l.lo - z AS BIGINT), 'hi': CAST(l.hi - z AS BIGINT)}),
+           [{'lo': CAST(len(w) - 2 * z + 1 AS BIGINT), 'hi': CAST(len(w) - z AS BIGINT)}])) END
+  FROM (
+    SELECT *, list_filter(range(1, len(w) // 2 + 1), lambda z:
+             w[len(w) - 2 * z + 1 : len(w) - z] = w[len(w) - z + 1 : len(w)]
+             AND len(list_filter(loops, lambda l: l.lo <= len(w) - z AND l.hi > len(w) - z)) = 0
+             AND len(list_filter(loops, lambda l:
+                   l.lo <= len(w) - 2 * z AND l.hi > len(w) - 2 * z AND l.hi < len(w) - z)) = 0
+             AND len(list_filter(loops, lambda a: a.lo > len(w) - 2 * z AND a.hi <= len(w) - z
+                   AND len(list_filter(loops, lambda b: b.lo > len(w) - z
+                         AND ((a.lo < b.lo - z AND b.lo - z <= a.hi AND a.hi < b.hi - z)
+                           OR (b.lo - z < a.lo AND a.lo <= b.hi - z AND b.hi - z < a.hi)))) > 0)) = 0)[1] AS z
+    FROM (SELECT uid, q.k, list_append(fold.w, q.endpoint) AS w, fold.loops
+          FROM fold JOIN q USING (uid) WHERE q.k = fold.k + 1))),
+folded AS (SELECT uid, arg_max(w, k) AS w, arg_max(loops, k) AS loops FROM fold GROUP BY uid)"""
+)
+
+_PATTERN = """array_to_string(list_transform(range(1, len({w}) + 1), lambda i:
+           repeat('(', len(list_filter({loops}, lambda l: l.lo = i))) || {w}[i]
+           || repeat(')*', len(list_filter({loops}, lambda l: l.hi = i)))), ' -> ')"""
+
+# patterns of early users, by leaves from the last text to the first: each joins the first one before it whose loops
+# it does not cross
+_MERGED = (
+    _FOLD
+    + _WINDOW.removeprefix(_E).rpartition("\nSELECT uid")[0].format(share=0.005)
+    + f""",
+same AS (
+  SELECT w, list_sort(loops) AS loops, {_PATTERN.format(w="w", loops="list_sort(loops)")} AS pattern, count(*) AS count,
+         min(first_req_ms) AS a, max(last_req_ms) AS b
+  FROM folded JOIN f USING (uid)
+  WHERE first_req_ms <= (SELECT floor(((max(us) - min(us)) // 1000)::DOUBLE * 0.005::DOUBLE) FROM e)
+  GROUP BY w, list_sort(loops)),
+given AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pattern DESC) AS k FROM same),
+kept AS (
+  SELECT w, k, [{{'loops': loops, 'count': count, 'a': a, 'b': b}}] AS classes FROM given WHERE k = 1
+  UNION ALL
+  SELECT w, k, CASE WHEN slot IS NULL THEN list_append(classes, {{'loops': loops, 'count': count, 'a': a, 'b': b}})
+    ELSE list_transform(classes, lambda c, i: CASE WHEN i <> slot THEN c ELSE {{
+      'loops': list_distinct(list_concat(c.loops, loops)), 'count': c.count + count,
+      'a': least(c.a, a), 'b': greatest(c.b, b)}} END) END
+  FROM (
+    SELECT n.w, n.k, classes, n.loops, n.count, n.a, n.b,
+           list_filter(range(1, len(classes) + 1), lambda j:
+             len(list_filter(n.loops, lambda x: len(list_filter(classes[j].loops, lambda y:
+               (x.lo < y.lo AND y.lo <= x.hi AND x.hi < y.hi) OR (y.lo < x.lo AND x.lo <= y.hi AND y.hi < x.hi))) > 0)) = 0)[1] AS slot
+    FROM kept JOIN given n USING (w) WHERE n.k = kept.k + 1)),
+merged AS (SELECT w, unnest(arg_max(classes, k)) AS c FROM kept GROUP BY w)"""
+)
+
 # conversations: an optional system turn, then user and assistant in turn
 _TALKS = """
 roles AS (
@@ -840,6 +905,14 @@ def oracle_sql() -> dict[str, str]:
             _TALKS,
             "SELECT CAST(conv_id AS VARCHAR) AS conv_id, array_to_string(parts, ' -> ') AS pattern FROM shapes",
         ),
+        "scenario_patterns_events": _with(
+            _FOLD, f"SELECT uid, {_PATTERN.format(w='w', loops='loops')} AS pattern, CAST(len(w) AS INTEGER) AS leaves FROM folded"
+        ).replace("WITH", "WITH RECURSIVE", 1),
+        "scenarios_events": _with(
+            _MERGED,
+            f"""SELECT c.a AS first_req_ms, c.b AS last_req_ms, CAST(c.count AS BIGINT) AS count,
+                      {_PATTERN.format(w="w", loops="c.loops")} AS pattern FROM merged""",
+        ).replace("WITH", "WITH RECURSIVE", 1),
         "scenarios": _with(_TALKS, "SELECT first_req_ms, last_req_ms, count, pattern FROM sc"),
         "scenario_nodes": _with(
             _TALKS,
