@@ -11,6 +11,7 @@ they lack. Shards are numbered in ascending order of ``doc_id``.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,9 +47,12 @@ def word_cache(path: str) -> WordCache:
     """A cached encoder of the tokenizer file, whose pre-tokenizer never joins what a space or newline parts.
 
     Words of lower-case letters below U+0130 pass its normalizer and
-    pre-tokenizer unchanged, so they go to its BPE model directly.
+    pre-tokenizer unchanged, so they go to its BPE model directly. The library's
+    own threads are off: tasks are the parallel work, and threads of every task
+    would only hold memory.
     """
     if path not in _cache:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -268,7 +272,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.to_pylist():
+            # One shard at a time, as a batch of them may be large.
+            for i in range(batch.num_rows):
+                shard = batch.slice(i, 1).to_pylist()[0]
                 rows = [(d, len(ids), zlib.crc32(ids.tobytes())) for d, ids in documents_of(shard, dictionary)]
                 ids, counts, crc = zip(*rows)
                 place = np.cumsum(counts) - np.array(counts)
