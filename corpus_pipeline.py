@@ -12,7 +12,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitpath.llm import langid, mixing, pieces, pii, simhash
+from hitpath.llm import langid, mixing, nearcopies, pieces, pii
 from hitpath.llm.common import written
 
 
@@ -22,13 +22,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words.
+    """One document of each group of near copies: sets of five-word shingles with a similarity of 0.8 or more.
 
-    Shingle sets of similarity 0.8 have fingerprints a few bits apart, so the
-    radius is wider than the operator's own; beyond it unrelated texts would
-    begin to meet.
+    Fingerprints miss most pairs near 0.8, so they only give candidates, along
+    with minimum hashes; what is linked is confirmed by the sets themselves.
     """
-    return simhash.deduplicated(docs, words=5, radius=6)
+    return nearcopies.deduplicated(docs, words=5, radius=6, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

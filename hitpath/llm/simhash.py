@@ -28,23 +28,33 @@ TILE = 1024
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The bits set in over half of the shingles' hashes; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hash of each shingle in order; none for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
     n = max(len(found) - words + 1, 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist()
-    count, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, n, _STEP):
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _STEP], ends[i : i + _STEP])]
-        bits = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        bits = hashes[i : i + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
         count += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The bits set in over half of the shingles' hashes; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
 
 
 def with_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
