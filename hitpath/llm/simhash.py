@@ -217,20 +217,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id.
+    """``docs`` with one row of each component.
 
-    Rows that repeat an id are one document: the one whose columns come first
-    in order stays. Rows with a null id cannot be named and all stay.
+    It is the row of the smallest id, then of the smallest hash of its text and
+    other columns; null ids come last.
     """
-    name = free_name(docs.columns, "_kept")
+    number = free_name(docs.columns, "_row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), words, radius)
+    order = rows.select(
+        F.col(number).alias("row"), F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"),
+    )
     kept = (
-        near_duplicates(docs, words, radius)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias(name))
-        .distinct()
+        found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+        .join(order, "row")
+        .groupBy("group")
+        .agg(F.min(F.struct("nameless", "id", "text", "all", "row")).alias("least"))
+        .select(F.col("least.row").alias(number))
     )
-    rest = [c for c in docs.columns if c != "doc_id"]
-    known = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
-    one = known.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    whole = one.select(*(F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns))
-    return whole.unionByName(docs.where("doc_id IS NULL"))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)

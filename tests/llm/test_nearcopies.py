@@ -5,7 +5,7 @@ import pytest
 from test_models import groups
 
 import corpus_pipeline
-from hitpath.llm import nearcopies
+from hitpath.llm import nearcopies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,14 @@ def test_similarity_is_exact():
     assert nearcopies.similar([base, base[:72]], 0.8).tolist() == [0, 0]
     assert nearcopies.similar([base, base[:71]], 0.8).tolist() == [0, 1]
     assert nearcopies.similar([base[:72], base[40:], base], 0.8).tolist() == [0, 1, 0]
+
+
+def test_each_group_keeps_one_row(spark, make_docs):
+    """An id with two texts: the unique one stays, whichever text comes first; null ids are grouped like others."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    c = " ".join(f"c{i}" for i in range(40))
+    for unique, copied in ((a, b), (b, a)):
+        rows = [(7, unique), (7, copied), (3, copied), (None, c), (None, c), (None, copied)]
+        for stage in (lambda docs: corpus_pipeline.near_duplicates(spark, docs, SF), simhash.deduplicated):
+            got = stage(make_docs(rows)).collect()
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, unique), (3, copied), (None, c)], key=str)
