@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from hitpath.llm import langid, lm, mixing, pieces, pii, simhash, sketch, tokenfile, urls, vectors
+from hitpath.llm import langid, lm, mixing, pieces, pii, simhash, sketch, tokencounts, tokenfile, urls, vectors
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,8 +52,16 @@ def op10_fingerprints(spark, sf):
     return sketch.fingerprints(_docs(spark, sf))
 
 
+def op11_tokencounts(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "text")
+    return tokencounts.count_tokens(docs, path("piece_bpe_32k.model")).drop("text")
+
+
 def queries() -> dict:
-    found = [op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op7_scores, op8_tokens, op9_pieces, op10_fingerprints]
+    found = [
+        op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op7_scores, op8_tokens, op9_pieces,
+        op10_fingerprints, op11_tokencounts,
+    ]
     return {f.__name__: f for f in found}
 
 
