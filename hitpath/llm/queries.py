@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from hitpath.llm import langid, lm, mixing, pieces, pii, simhash, sketch, tokencounts, tokenfile, urls, vectors
+from hitpath.llm import langid, lm, merkle, mixing, pieces, pii, simhash, sketch, tokencounts, tokenfile, urls, vectors
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,10 +57,14 @@ def op11_tokencounts(spark, sf):
     return tokencounts.count_tokens(docs, path("piece_bpe_32k.model")).drop("text")
 
 
+def op12_merkle(spark, sf):
+    return merkle.verified_documents(_docs(spark, sf))
+
+
 def queries() -> dict:
     found = [
         op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op7_scores, op8_tokens, op9_pieces,
-        op10_fingerprints, op11_tokencounts,
+        op10_fingerprints, op11_tokencounts, op12_merkle,
     ]
     return {f.__name__: f for f in found}
 
@@ -120,8 +124,69 @@ SELECT page_id, host, path,
 FROM p"""
 
 
+# The unsigned crc32 of the ASCII text of a number: a step for each byte, then eight for its bits.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(CAST({id} AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+_MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, {crc} % 3 = 0 AS hit,
+         {doc_id} || {source} || {lang} || {n_chars} AS head FROM documents),
+f AS (
+  SELECT doc_id, lang, sha256(head || {text}) AS leaf,
+         sha256(head || CASE WHEN hit AND text IS NOT NULL THEN strlen(text) || ':' || translate(
+           text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE {text} END) AS seen
+  FROM d),
+g AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS n FROM f),
+tree AS (
+  SELECT 0 AS level, lang, idx, n, leaf AS digest FROM g
+  UNION ALL
+  SELECT level + 1, lang, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM tree WHERE n > 1 GROUP BY level, lang, idx // 8, n),
+sub AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 100 AS level, idx, n, digest FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM top WHERE n > 1 GROUP BY level, idx // 8, n),
+runs AS (
+  SELECT level, lang, idx // 8 AS run, list(digest ORDER BY idx) AS kids FROM tree WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT level, idx // 8 AS run, list(digest ORDER BY idx) AS kids FROM top WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT g.lang, g.idx, level, (g.idx // CAST(8 ** level AS BIGINT)) % 8 AS slot, kids
+  FROM g JOIN runs ON g.lang IS NOT DISTINCT FROM runs.lang AND g.idx // CAST(8 ** (level + 1) AS BIGINT) = run
+  UNION ALL
+  SELECT g.lang, g.idx, level, (sub.idx // CAST(8 ** (level - 100) AS BIGINT)) % 8, kids
+  FROM g JOIN sub ON g.lang IS NOT DISTINCT FROM sub.lang
+  JOIN upper_runs ON sub.idx // CAST(8 ** (level - 99) AS BIGINT) = run),
+paths AS (
+  SELECT lang, idx, list(array_to_string(kids[1 : slot], '') || ':' || array_to_string(kids[slot + 2 :], '') ORDER BY level) AS path
+  FROM steps GROUP BY lang, idx)
+SELECT doc_id, leaf, sub.digest AS subroot, root, sha256(coalesce(replace(array_to_string(path, ''), ':', ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM (
+  SELECT g.*, path, (SELECT digest FROM top WHERE n = 1) AS root,
+         list_reduce(list_prepend(seen, coalesce(path, [])),
+                     lambda a, x: sha256(split_part(x, ':', 1) || a || split_part(x, ':', 2))) AS folded_root
+  FROM g LEFT JOIN paths ON g.lang IS NOT DISTINCT FROM paths.lang AND g.idx = paths.idx) r
+JOIN sub ON r.lang IS NOT DISTINCT FROM sub.lang"""
+
+
+def _merkle_sql() -> str:
+    sql = _MERKLE.replace("{crc}", _CRC.replace("{id}", "doc_id"))
+    for name in merkle.FIELDS:
+        sql = sql.replace("{" + name + "}", f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')")
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": _MIXING,
         "op5_urls": _URLS.replace("{junk}", "|".join(urls.JUNK_WORDS)),
+        "op12_merkle": _merkle_sql(),
     }

@@ -1,4 +1,5 @@
 import pytest
+from compare import duck
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +36,8 @@ def odd(make_docs):
 @pytest.fixture(scope="session")
 def empty(make_docs):
     return make_docs([])
+
+
+@pytest.fixture(scope="session")
+def con():
+    return duck("/root/testdata/sf0.001")
