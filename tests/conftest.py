@@ -8,6 +8,8 @@ for folder in (ROOT, ROOT / "tests"):
     if str(folder) not in sys.path:
         sys.path.insert(0, str(folder))
 
+from helpers import log_line  # noqa: E402
+
 from hitpath.session import local_session  # noqa: E402
 
 
@@ -29,17 +31,3 @@ def entries(spark):
         return parse_lines(spark.createDataFrame(lines, "value string, ord int"))
 
     return build
-
-
-def log_line(second, req, uid, new=False, status=200):
-    clock = f"{12 + second // 3600:02d}:{second % 3600 // 60:02d}:{second % 60:02d}"
-    seen = ("uid=" + uid, "-") if new else ("-", "uid=" + uid)
-    return (
-        f"time:01/Jan/2023:{clock} +0900\thost:192.168.0.10\tforwardedfor:-\treq:{req}\tstatus:{status}"
-        f"\tsize:10\tuidgot:{seen[1]}\tuidset:{seen[0]}\tvhost:localhost"
-    )
-
-
-def rows(df, *names):
-    """Rows as tuples, in the order Spark returns them."""
-    return [tuple(r) for r in (df.select(*names) if names else df).collect()]

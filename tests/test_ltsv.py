@@ -1,12 +1,12 @@
 import pytest
-from conftest import log_line, rows
+from helpers import log_line, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hitpath.sources.ltsv import parse_lines, read_ltsv
 from hitpath.sources.store import read_entries, write_entries, write_report
 
-GOOD = "time:20/Jan/2023:14:39:01 +0900\treq:POST /initialize HTTP/2.0\tstatus:200\tuidset:uid=0B00\tuidgot:-"
+GOOD = "status:200\ttime:29/Feb/2024:23:59:58 -0330\tuidset:sid=k7\tuidgot:-\treq:PUT /orders/new HTTP/1.1"
 
 
 def parse(spark, lines, **options):
@@ -16,14 +16,14 @@ def parse(spark, lines, **options):
 def test_fields(spark):
     row = parse(spark, [GOOD]).withColumn("s", F.unix_seconds("time")).first()
     assert (row.method, row.uri, row.path, row.query, row.status, row.uid, row.set_new_uid, row.s) == (
-        "POST", "/initialize", "/initialize", "", 200, "0B00", True, 1674193141,
+        "PUT", "/orders/new", "/orders/new", "", 200, "k7", True, 1709263798,
     )
-    assert row.req == "POST /initialize HTTP/2.0" and row.route_id is None
+    assert row.req == "PUT /orders/new HTTP/1.1" and row.route_id is None
 
 
 def test_other_labels_and_blank_lines_are_ignored(spark):
     df = parse(spark, ["", "xreq:no\tuid:no\t" + GOOD + "\treqtime:1\tstatus2:5", ""])
-    assert rows(df, "uri", "status") == [("/initialize", 200)]
+    assert rows(df, "uri", "status") == [("/orders/new", 200)]
 
 
 @pytest.mark.parametrize(
@@ -41,7 +41,7 @@ def test_other_labels_and_blank_lines_are_ignored(spark):
     ],
 )
 def test_user_id(spark, cookies, uid, new):
-    line = f"time:20/Jan/2023:14:39:01 +0900\treq:GET / HTTP/2.0\tstatus:200\t{cookies}"
+    line = f"time:29/Feb/2024:23:59:58 -0330\treq:GET / HTTP/1.1\tstatus:200\t{cookies}"
     assert rows(parse(spark, [line]), "uid", "set_new_uid") == [(uid, new)]
 
 
@@ -68,18 +68,18 @@ def test_last_of_repeated_labels_wins(spark):
 @pytest.mark.parametrize(
     "line, error",
     [
-        (GOOD + "\thost=192.168.0.10", "field without a label"),
+        (GOOD + "\tagent=none", "field without a label"),
         (GOOD + "\t", "field without a label"),
         (GOOD.replace("status:200", "status: 200"), "bad status"),
         (GOOD.replace("status:200", "status:2x"), "bad status"),
         (GOOD.replace("status:200", "status:"), "bad status"),
-        (GOOD.replace("20/Jan", "2023-01"), "bad time"),
-        (GOOD.replace("time:20/Jan/2023:14:39:01 +0900\t", ""), "missing time"),
+        (GOOD.replace("29/Feb", "2024-02"), "bad time"),
+        (GOOD.replace("time:29/Feb/2024:23:59:58 -0330\t", ""), "missing time"),
         (GOOD.replace("req:", "request:"), "missing req"),
         (GOOD.replace("status:200\t", ""), "missing status"),
         (GOOD.replace("status:200", "status:0"), "missing status"),
-        (GOOD.replace("uid=0B00", "-"), "missing uid"),
-        (GOOD.replace("uid=0B00", "uid="), "missing uid"),
+        (GOOD.replace("sid=k7", "-"), "missing uid"),
+        (GOOD.replace("sid=k7", "sid="), "missing uid"),
         (GOOD.replace("status:200", "status:+200"), None),
     ],
 )
@@ -99,9 +99,9 @@ def test_validation(spark, line, error):
 def test_wrong_time_format_and_mode(spark):
     with pytest.raises(PySparkException, match="bad time"):
         parse(spark, [GOOD], time_format="dd/MM/yyyy:HH:mm:ss Z").collect()
-    other = GOOD.replace("20/Jan/2023:14:39:01 +0900", "2023-01-20T05:39:01Z")
+    other = GOOD.replace("29/Feb/2024:23:59:58 -0330", "2024-03-01T03:29:58Z")
     df = parse(spark, [other], time_format="yyyy-MM-dd'T'HH:mm:ssX")
-    assert rows(df.select(F.unix_seconds("time"))) == [(1674193141,)]
+    assert rows(df.select(F.unix_seconds("time"))) == [(1709263798,)]
     with pytest.raises(ValueError, match="mode"):
         parse(spark, [GOOD], mode="lenient")
 
@@ -109,7 +109,7 @@ def test_wrong_time_format_and_mode(spark):
 def test_labels(spark):
     line = GOOD.replace("req:", "r.q:").replace("uidset:", "set:")
     df = parse(spark, [line], labels={"req": "r.q", "uidset": "set", "nothing": "x"})
-    assert rows(df, "uri", "uid", "set_new_uid") == [("/initialize", "0B00", True)]
+    assert rows(df, "uri", "uid", "set_new_uid") == [("/orders/new", "k7", True)]
 
 
 def test_files_keep_line_order_across_splits(spark, tmp_path):

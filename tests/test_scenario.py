@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from helpers import rows
 from test_fold import GOLDENS, plain_fold
 from test_transition import FIVE, THREE, _random_log
 

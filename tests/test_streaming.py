@@ -2,7 +2,7 @@ import os
 from collections import Counter
 
 import pytest
-from conftest import log_line, rows
+from helpers import log_line, rows
 from test_transition import _expected_edges, _random_log
 
 from hitpath.sources.ltsv import parse_lines, stream_ltsv

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from hitpath.operators import graph, ordering, trend
 from hitpath.operators.transition import transition_edges, transition_matrix
