@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOWEST = -(2**63)
@@ -93,6 +93,39 @@ def range_of(column: str, bounds: list[int]) -> Column:
     return find(F.coalesce(F.col(column), F.lit(LOWEST)))
 
 
+def in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``idx``, the rank of a row within its ``tree`` by ``order``, and ``n``, the rows of the tree.
+
+    Rows are sorted by ranges of all of these columns and take their place from
+    the place in their partition and one count per tree and partition, so a
+    tree spreads over as many tasks as its rows need.
+    """
+    part = F.shiftright("_at", 33)
+    sort = ["tree", *order]
+    placed = written(
+        rows.repartitionByRange(partitions(rows.sparkSession), *sort)
+        .sortWithinPartitions(*sort)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        f"{name}-placed",
+    )
+    trees = Window.partitionBy("tree")
+    ahead = trees.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(F.col("tree").alias("tree"), part.alias("part")).agg(
+        F.count("*").alias("rows"), F.min("_at").alias("low")
+    )
+    offsets = written(
+        counts.select(
+            F.col("tree").alias("_tree"), F.col("part").alias("_part"),
+            (F.coalesce(F.sum("rows").over(ahead), F.lit(0)) - F.col("low")).alias("_shift"),
+            F.sum("rows").over(trees).alias("n"),
+        ),
+        f"{name}-offsets",
+    )
+    return placed.join(offsets, F.col("tree").eqNullSafe(F.col("_tree")) & (part == F.col("_part"))).select(
+        *rows.columns, (F.col("_at") + F.col("_shift")).alias("idx"), "n"
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``, as ``(node, component)`` with the smallest node as name.
 

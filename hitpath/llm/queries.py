@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from hitpath.llm import langid, lm, merkle, mixing, pieces, pii, simhash, sketch, tokencounts, tokenfile, urls, vectors
+from hitpath.llm import langid, lm, merkle, mixing, pieces, pii, prefixtrie, simhash, sketch, tokencounts, tokenfile, urls, vectors
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,10 +61,14 @@ def op12_merkle(spark, sf):
     return merkle.verified_documents(_docs(spark, sf))
 
 
+def op13_prefixes(spark, sf):
+    return prefixtrie.shared_prefixes(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def queries() -> dict:
     found = [
         op1_vectors, op2_language, op3_simhash, op4_mixing, op5_urls, op6_pii, op7_scores, op8_tokens, op9_pieces,
-        op10_fingerprints, op11_tokencounts, op12_merkle,
+        op10_fingerprints, op11_tokencounts, op12_merkle, op13_prefixes,
     ]
     return {f.__name__: f for f in found}
 
@@ -184,9 +188,43 @@ def _merkle_sql() -> str:
     return sql
 
 
+_PREFIXES = r"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+           strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (
+  SELECT c, c - c % 100 AS b, {crc} % 6 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (
+  SELECT v.c, k, role, text FROM v JOIN o ON o.c = v.b AND k <= h
+  UNION ALL
+  SELECT v.c, 1000000 + k, role, text FROM v JOIN o ON o.c = v.c AND k > h),
+t AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, sha256(strlen(role) || ':' || role || text) AS s,
+         CAST(length(text) AS BIGINT) AS size FROM r),
+p AS (SELECT c, d, string_agg(s, '') OVER (PARTITION BY c ORDER BY d) AS path, size FROM t),
+z AS (SELECT v.c, coalesce(max(d), 0) AS d FROM v LEFT JOIN p USING (c) GROUP BY v.c),
+m AS (SELECT c, d, path, size FROM p UNION ALL SELECT c, 0, '', 0 FROM v),
+ends AS (
+  SELECT path, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ids FROM m JOIN z ON m.c = z.c AND m.d = z.d GROUP BY path),
+n AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, max(size) * (count(*) - 1) AS saved,
+         left(path, CAST(64 * (d - 1) AS BIGINT)) AS up FROM m GROUP BY path, d),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.up),
+totals AS (
+  SELECT m.path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM f JOIN m ON m.c = f.conv_id AND m.d <= f.d GROUP BY m.path)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN totals USING (path) LEFT JOIN ends USING (path) LEFT JOIN n u ON f.d > 0 AND u.path = f.up AND u.d = f.d - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": _MIXING,
         "op5_urls": _URLS.replace("{junk}", "|".join(urls.JUNK_WORDS)),
         "op12_merkle": _merkle_sql(),
+        "op13_prefixes": _PREFIXES.replace("{crc}", _CRC.replace("{id}", "c")),
     }
