@@ -49,6 +49,25 @@ class Folder:
         # Positions by the _GRAM leaves that end there, in ascending order.
         self._grams: defaultdict[tuple, list[int]] = defaultdict(list)
 
+    @classmethod
+    def resume(cls, leaves, loops) -> Folder:
+        """A folder in the state that had these ``leaves`` and ``loops``.
+
+        They are the whole state: a top-level part ends wherever no loop goes
+        on, and the gram table follows from the word. So a sequence may be
+        folded in several goes.
+        """
+        folder = cls()
+        folder.leaves = list(leaves)
+        folder._starts = [set() for _ in folder.leaves]
+        folder._part_end = [True] * len(folder.leaves)
+        for lo, hi in loops:
+            folder._starts[hi].add(lo)
+            folder._part_end[lo:hi] = [False] * (hi - lo)
+        for last in range(_GRAM - 1, len(folder.leaves)):
+            folder._grams[tuple(folder.leaves[last + 1 - _GRAM : last + 1])].append(last)
+        return folder
+
     def add(self, leaf: str) -> None:
         word = self.leaves
         word.append(leaf)

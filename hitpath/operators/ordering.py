@@ -82,8 +82,8 @@ def consecutive_pairs(rows: DataFrame, value: str, slice_s: int = SLICE_S) -> Da
     return near.select(F.inline(steps))
 
 
-def with_position(rows: DataFrame, since: str | None = None, slice_s: int = SLICE_S) -> DataFrame:
-    """Add ``position``, the 0-based rank of a row within its user.
+def with_position(rows: DataFrame, since: str | None = None, slice_s: int = SLICE_S, total: bool = False) -> DataFrame:
+    """Add ``position``, the 0-based rank of a row within its user, and with ``total`` how many rows the user has.
 
     With ``since``, a boolean column, a user's rows count from the last one for
     which it is true; rows before it are left out, and so are users without
@@ -102,30 +102,33 @@ def with_position(rows: DataFrame, since: str | None = None, slice_s: int = SLIC
         skipped = F.when(F.col("slice") == F.col("_last"), F.col("_begins") - 1).otherwise(F.lit(0))
     else:
         skipped = F.lit(0)
+    left = F.sum(F.col("_rows") - F.col("_skipped"))
     slices = slices.withColumn("_skipped", skipped).select(
         "uid",
         "slice",
         "_skipped",
         F.coalesce(
-            F.sum(F.col("_rows") - F.col("_skipped")).over(timeline.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0).cast("bigint"),
+            left.over(timeline.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")
         ).alias("_start"),
+        *([left.over(user).alias("total")] if total else []),
     )
     kept = ranked.join(slices, ["uid", "slice"]).where(F.col("_rank") > F.col("_skipped"))
     position = F.col("_start") + F.col("_rank") - F.col("_skipped") - 1
-    return kept.select(*rows.columns, position.alias("position"))
+    return kept.select(*rows.columns, position.alias("position"), *(["total"] if total else []))
 
 
-def without_long_runs(rows: DataFrame, value: str, reset: str) -> DataFrame:
-    """Drop the middle of each run of one repeated value, leave rows in order.
+def without_long_runs(rows: DataFrame, value: str, reset: str, slice_s: int = SLICE_S) -> DataFrame:
+    """Drop the middle of each run of one repeated value within a slice of a user's timeline.
 
     The first two rows of a run and its last one stay, and so does each row
     with ``reset`` set and the one after it. Folding gives the same pattern for
-    two repetitions as for any larger number, so this changes no result.
-    The rows come partitioned by user and sorted by user, time and ``ord``.
+    two repetitions as for any larger number: two equal leaves at the end are
+    always merged into a loop of one leaf, and adding that leaf to such a loop
+    changes nothing. So this changes no result. It would not hold for longer
+    blocks, whose repetition may take several rounds to settle or never does.
     """
-    w = Window.partitionBy("uid").orderBy("time", "ord")
-    near = rows.repartition("uid").withColumns(
+    w = slice_window()
+    near = rows.withColumn("slice", time_slice(slice_s)).withColumns(
         {
             "_p1": F.lag(value, 1).over(w),
             "_p2": F.lag(value, 2).over(w),
@@ -137,5 +140,4 @@ def without_long_runs(rows: DataFrame, value: str, reset: str) -> DataFrame:
     middle = (
         (same == F.col("_p1")) & (same == F.col("_p2")) & (same == F.col("_n1")) & ~F.col(reset) & ~F.col("_r1")
     )
-    thinned = near.where(~F.coalesce(middle, F.lit(False))).select(*rows.columns)
-    return thinned.sortWithinPartitions("uid", "time", "ord")
+    return near.where(~F.coalesce(middle, F.lit(False))).select(*rows.columns)

@@ -13,8 +13,11 @@ from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros, offset_ms
 from hitpath.operators.ordering import SLICE_S, with_position, without_long_runs
 from hitpath.operators.trend import origin, period
+from hitpath.sources.scratch import scratch_dir
 
 LATE_SHARE = 0.95
+# Requests of one user that a task folds in one go.
+CHUNK_ROWS = 1_000_000
 
 _LOOPS = "array<struct<lo:int,hi:int>>"
 _PATTERN = f"pattern string, leaves array<string>, loops {_LOOPS}"
@@ -85,14 +88,24 @@ def sequences(entries: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     return with_position(_visits(entries), "set_new_uid", slice_s).select("uid", "position", "endpoint")
 
 
+_FOLDED = pa.schema(
+    [("uid", pa.string()), ("total", pa.int64()), ("first_us", pa.int64()), ("last_us", pa.int64()), *_ARROW_PATTERN]
+)
+_FOLDED_SQL = f"uid string, total bigint, first_us bigint, last_us bigint, {_PATTERN}"
+
+
 def _fold_users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold rows that arrive ordered by user and time, holding one user at a time."""
-    schema = pa.schema([("uid", pa.string()), ("first_us", pa.int64()), ("last_us", pa.int64()), *_ARROW_PATTERN])
-    current, folder, first, last = None, None, 0, 0
+    """Fold rows that arrive ordered by user and position, holding one user at a time.
+
+    A row without an endpoint is the user's pattern so far, from which the
+    fold goes on.
+    """
+    current, folder, total, first, last = None, None, 0, 0, 0
 
     def folded() -> dict:
         return {
             "uid": current,
+            "total": total,
             "first_us": first,
             "last_us": last,
             "pattern": pattern_text(folder.leaves, folder.loops),
@@ -102,32 +115,88 @@ def _fold_users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for uid, time, visit, reset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if uid != current:
+        uids, totals, starts, times, visits, leaves, loops = (c for c in batch.columns)
+        rows = zip(uids.to_pylist(), totals.to_pylist(), starts.to_pylist(), times.to_pylist(), visits.to_pylist(), strict=True)
+        for i, (uid, rows_of_user, start, time, visit) in enumerate(rows):
+            if uid != current or folder is None:
                 if folder is not None:
                     done.append(folded())
-                current, folder = uid, None
-            if reset:
-                folder, first = Folder(), time
-            if folder is not None:
+                current, folder, total, first = uid, Folder(), rows_of_user, start
+            if visit is None:
+                folder = Folder.resume(leaves[i].as_py(), [(x["lo"], x["hi"]) for x in loops[i].as_py()])
+            else:
                 folder.add(visit)
-                last = time
+            last = time
         if done:
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
+            yield pa.RecordBatch.from_pylist(done, schema=_FOLDED)
     if folder is not None:
-        yield pa.RecordBatch.from_pylist([folded()], schema=schema)
+        yield pa.RecordBatch.from_pylist([folded()], schema=_FOLDED)
 
 
-def user_patterns(entries: DataFrame) -> DataFrame:
+def _ordered_visits(entries: DataFrame, slice_s: int) -> DataFrame:
+    """The requests that decide each user's pattern: ``(uid, total, position, first_us, us, endpoint)``.
+
+    They begin with the last new user id. Runs are thinned and rows numbered in
+    slices of a user's time, so nothing here depends on how busy a user is.
+    """
+    rows = without_long_runs(_visits(entries), "endpoint", "set_new_uid", slice_s)
+    numbered = with_position(rows, "set_new_uid", slice_s, total=True)
+    us = micros(F.col("time"))
+    # Only the first row of a user has position 0; the fold takes its time.
+    return numbered.select("uid", "total", "position", us.alias("first_us"), us.alias("us"), "endpoint")
+
+
+_INPUT = ("uid", "total", "first_us", "us", "endpoint", "leaves", "loops")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    together = rows.repartition("uid").sortWithinPartitions("uid", "position")
+    return together.select(*_INPUT).mapInArrow(_fold_users, _FOLDED_SQL)
+
+
+def user_patterns(entries: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_s: int = SLICE_S) -> DataFrame:
     """The folded pattern of each user's sequence.
 
-    Folding is sequential within a user by definition. Rows are streamed
-    through it in order, so a task holds one folded pattern and never a whole
-    sequence, and of long runs of one endpoint only the ends cross into Python.
+    Folding is sequential within a user by definition, but its state is the
+    pattern so far. Sequences are cut into chunks of ``chunk_rows`` requests:
+    the first chunks of all users are folded at once, then the second ones of
+    those that have more, from the patterns of the first, and so on. However
+    many requests a user has, a task sorts and folds no more of them than a
+    chunk. The number of rounds, one unless a user has very many requests,
+    takes a count of requests per user while the query is built; where there
+    are several, rows and patterns in between are written under
+    ``spark.checkpoint.dir``.
     """
-    ordered = without_long_runs(_visits(entries), "endpoint", "set_new_uid")
-    rows = ordered.select("uid", micros(F.col("time")).alias("us"), "endpoint", "set_new_uid")
-    return rows.mapInArrow(_fold_users, f"uid string, first_us bigint, last_us bigint, {_PATTERN}")
+    if chunk_rows <= 0:
+        raise ValueError(f"a chunk needs a positive number of rows, not {chunk_rows}")
+    busiest = entries.groupBy("uid").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    rounds = max(1, -(-busiest // chunk_rows))
+    visits = _ordered_visits(entries, slice_s).withColumns(
+        {"leaves": F.lit(None).cast("array<string>"), "loops": F.lit(None).cast(_LOOPS)}
+    )
+    kept = ["uid", "first_us", "last_us", "pattern", "leaves", "loops"]
+    if rounds == 1:
+        return _folded(visits).select(*kept)
+
+    spark, folder = entries.sparkSession, scratch_dir(entries.sparkSession, "fold")
+    chunk = F.floor(F.col("position") / chunk_rows).cast("int")
+    visits.withColumn("chunk", chunk).write.partitionBy("chunk").parquet(f"{folder}/visits")
+    rows = spark.read.parquet(f"{folder}/visits")
+    known, found = None, None
+    for i in range(rounds):
+        now = rows.where(F.col("chunk") == i).drop("chunk")
+        if known is not None:
+            # The pattern so far comes before all rows of its user.
+            before = known.where(F.col("total") > i * chunk_rows).select(
+                "uid", "total", F.lit(-1).cast("bigint").alias("position"), "first_us", F.col("last_us").alias("us"),
+                F.lit(None).cast("string").alias("endpoint"), "leaves", "loops",
+            )
+            now = now.unionByName(before)
+        _folded(now).write.parquet(f"{folder}/patterns{i}")
+        known = spark.read.schema(_FOLDED_SQL).parquet(f"{folder}/patterns{i}")
+        done = known.where(F.col("total") <= (i + 1) * chunk_rows).select(*kept)
+        found = done if found is None else found.unionByName(done)
+    return found
 
 
 def _merge_compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hitpath.functions.request import endpoint
 from hitpath.operators import params, trend
-from hitpath.streaming.trend import scratch_dir
+from hitpath.sources.scratch import scratch_dir
 
 
 def endpoint_counts(entries: DataFrame) -> DataFrame:

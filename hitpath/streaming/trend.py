@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitpath.functions.request import endpoint
+from hitpath.sources.scratch import scratch_dir
 
 
 def windowed_counts(entries: DataFrame, interval: int, delay: str) -> DataFrame:
@@ -33,14 +31,6 @@ def windowed_counts(entries: DataFrame, interval: int, delay: str) -> DataFrame:
     )
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError(f"name a folder for the {purpose}, or set spark.checkpoint.dir to one all executors share")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
-
-
 def run_append(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what is available in append mode and return the rows written.
 

@@ -14,8 +14,9 @@ from hitpath.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "hitpath-tests", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = "file://" + str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, "hitpath-tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

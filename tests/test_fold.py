@@ -102,3 +102,28 @@ def test_state_shrinks_with_the_pattern():
             folder.add(leaf)
     assert len(folder.leaves) == 12 and folder.loops == [(0, 11)]
     assert sum(map(len, folder._grams.values())) <= 12
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ABC"), max_size=80), st.lists(st.integers(0, 80), max_size=5))
+def test_a_fold_goes_on_from_its_pattern(sequence, cuts):
+    whole, parts = Folder(), Folder()
+    for i, leaf in enumerate(sequence):
+        if i in cuts:
+            parts = Folder.resume(parts.leaves, parts.loops)
+        for folder in (whole, parts):
+            folder.add(leaf)
+    assert (whole.leaves, whole.loops, whole._part_end) == (parts.leaves, parts.loops, parts._part_end)
+    assert {k: v for k, v in whole._grams.items() if v} == {k: v for k, v in parts._grams.items() if v}
+
+
+def test_repeated_blocks_do_not_settle():
+    """Why only runs of one leaf are thinned: longer blocks may need many repetitions, or never settle."""
+
+    def patterns(start, block, times):
+        return [fold([*start, *block * n]) for n in range(1, times)]
+
+    found = patterns("aa", "adbadbdbad", 9)
+    assert found[4] != found[5]
+    found = patterns("", "ccabababa", 13)
+    assert all(a != b for a, b in zip(found, found[1:]))

@@ -133,6 +133,60 @@ def test_long_runs_of_a_hot_user_are_thinned(entries):
     assert rows(scenario.user_patterns(entries(log)), "pattern") == [("(GET /ping)* -> GET /done",)]
 
 
+def _restarting_log(n=600):
+    rnd = random.Random(9)
+    log = []
+    for i in range(n):
+        uid = rnd.choice(["hot", "hot", "hot", "a", "b", "c", "orphan"])
+        new = uid != "orphan" and (i < 10 or rnd.random() < 0.004)
+        log.append((i // 9, f"GET /{rnd.choice('ABBBC')} HTTP/1.1", uid, new))
+    return log
+
+
+@pytest.mark.parametrize("chunk_rows, slice_s", [(1, 60), (7, 5), (50, 1), (10_000, 60)])
+def test_chunks_change_no_pattern(entries, chunk_rows, slice_s):
+    log = _restarting_log()
+    sequences, first = defaultdict(list), {}
+    for second, req, uid, new in log:
+        if new:
+            sequences[uid], first[uid] = [], second
+        if uid in first:
+            sequences[uid].append("GET " + req.split(" ")[1])
+    got = scenario.user_patterns(entries(log[: 60 if chunk_rows == 1 else None]), chunk_rows, slice_s)
+    if chunk_rows == 1:
+        want = scenario.user_patterns(entries(log[:60]))
+        assert sorted(rows(got, "uid", "pattern", "first_us", "last_us")) == sorted(rows(want, "uid", "pattern", "first_us", "last_us"))
+    else:
+        want = {uid: pattern_text(*plain_fold(sequence)) for uid, sequence in sequences.items() if uid in first}
+        assert dict(rows(got, "uid", "pattern")) == want
+    with pytest.raises(ValueError, match="chunk"):
+        scenario.user_patterns(entries(log), 0)
+
+
+def test_a_hot_user_is_folded_chunk_by_chunk(entries):
+    """With a third of the log, no fold gets more of one user than a chunk, and rows are shuffled by slice before."""
+    log = [(i, f"GET /{(i * i) % 7}{i % 5} HTTP/1.1", "hot" if i % 3 == 0 else f"u{i % 50}", i < 60) for i in range(1800)]
+    seen = []
+    inner = scenario._folded
+
+    def spy(frame):
+        most = frame.where("endpoint IS NOT NULL").groupBy("uid").count().agg({"count": "max"}).first()[0]
+        seen.append(most or 0)
+        return inner(frame)
+
+    scenario._folded = spy
+    try:
+        got = scenario.user_patterns(entries(log), chunk_rows=100)
+    finally:
+        scenario._folded = inner
+    assert max(seen) <= 100 and len(seen) == 6
+    assert sorted(rows(got, "uid", "pattern")) == sorted(rows(scenario.user_patterns(entries(log)), "uid", "pattern"))
+    plan = scenario._ordered_visits(entries(log), 60)._jdf.queryExecution().executedPlan().toString()
+    for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+        if "hashpartitioning(uid#" in line and "slice#" not in line.split("hashpartitioning")[1]:
+            assert "_rows" in below, below
+
+
 def test_graph_tables(entries):
     found = scenario.scenarios(entries(_steps("a", "ABBCABC") + _steps("b", "XX") + _steps("c", "XX")), share=1.0)
     edges = graph.scenario_edges(found)

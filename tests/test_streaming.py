@@ -113,7 +113,7 @@ def test_running_counts(folder, spark):
 def test_scratch_follows_the_session(tmp_path):
     from types import SimpleNamespace
 
-    from hitpath.streaming.trend import scratch_dir
+    from hitpath.sources.scratch import scratch_dir
 
     def session(**conf):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf.get(key.replace(".", "_"), default)))
