@@ -8,7 +8,6 @@ whole table.
 
 from __future__ import annotations
 
-import importlib.util
 import sys
 import tempfile
 import uuid
@@ -24,8 +23,11 @@ from hitpath.functions.request import endpoint
 from hitpath.functions.scores import log_norm
 from hitpath.operators import graph, params, scenario, transition, trend
 from hitpath.operators.filters import filter_entries
+from hitpath.operators.routeindex import RouteIndex, apply_route_index, route_params, write_route_index
 from hitpath.operators.routes import Routes, apply_routes
-from hitpath.sources.ltsv import parse_lines
+from hitpath.plans import reports
+from hitpath.sources.ltsv import parse_lines, read_ltsv
+from hitpath.sources.store import read_entries, replay_entries, write_entries, write_report
 from hitpath.sources.tables import (
     entries_from_conversations,
     entries_from_events,
@@ -34,14 +36,16 @@ from hitpath.sources.tables import (
     render_ltsv,
 )
 from hitpath.streaming import counts as stream_counts
+from hitpath.streaming import scenarios as stream_scenario
 from hitpath.streaming import transitions as stream_transitions
 from hitpath.streaming import trend as stream_trend
 
-# The training-data operators are optional; without their folder the rest works alone.
-_LLM = importlib.util.find_spec("hitpath.llm") and importlib.util.find_spec("corpus_pipeline")
-if _LLM:
+# The training-data operators are optional; without their folder, or what they need, the rest works alone.
+try:
     import corpus_pipeline
     from hitpath.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
 
 DAY = 86400
 LANGUAGES = ("de", "en", "es", "fr", "ja", "zh")
@@ -124,6 +128,24 @@ def ltsv_rejects(spark, sf):
     )
 
 
+def ltsv_file_lines(spark, sf):
+    """The log as text files of four servers, read back with the numbers of their lines."""
+    folder = f"{_scratch(spark)}/ltsv"
+    lines = render_ltsv(_events(spark, sf)).withColumn("server", F.col("ord") % 4)
+    lines.repartition("server").sortWithinPartitions("server", "ord").select("server", "value").write.partitionBy("server").text(folder)
+    found = read_ltsv(spark, folder, line_numbers=True)
+    server = F.regexp_extract("ord.file", "server=([0-9]+)", 1).cast("int")
+    return found.select(server.alias("server"), "ord.line", "method", "uri", "query", "uid")
+
+
+def entries_between(spark, sf):
+    """Requests of some hours of the stored log, whose other days are not read."""
+    folder = f"{_scratch(spark)}/entries"
+    write_entries(_events(spark, sf), folder)
+    found = read_entries(spark, folder, "2024-01-10 10:00:00Z", "2024-01-12 00:30:00Z")
+    return found.select(F.col("ord").alias("event_id"), "method", "uri", "uid")
+
+
 def request_parts(spark, sf):
     return _pages(spark, sf).select(F.col("ord").alias("page_id"), "method", "path", "query")
 
@@ -146,9 +168,49 @@ def route_groups(spark, sf):
 def route_groups_join(spark, sf):
     """A given list of routes, one per language, taken from a configuration table."""
     table = spark.createDataFrame([(i, f"^/{lang}/([0-9]+)") for i, lang in enumerate(LANGUAGES)], "route_id int, pattern string")
-    routes = Routes.from_table(table)
-    return trend.endpoint_counts(apply_routes(_pages(spark, sf), routes)).select("endpoint", "count")
+    return trend.endpoint_counts(apply_route_index(_pages(spark, sf), _index(spark, table))).select("endpoint", "count")
+
+
+def _index(spark, table):
+    folder = f"{_scratch(spark)}/routes"
+    write_route_index(table, folder)
+    return RouteIndex(spark, folder)
+
+
+def _part_log(spark, sf):
+    """Order lines as requests for the page of a part and its supplier, every seventh through another site."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    path = F.concat(
+        F.when(F.col("l_linenumber") == 7, F.lit("/mirror")).otherwise(F.lit("")),
+        F.lit("/parts/"), "l_partkey", F.lit("/suppliers/"), "l_suppkey",
+    )
+    return lines.select(F.lit("GET").alias("method"), path.alias("path"), F.lit(None).cast("int").alias("route_id"), path.alias("uri"))
+
+
+def _part_routes(spark, sf):
+    """A route for each part: of even ones wherever it stands, of odd ones at the start; and, before them, for some suppliers."""
+    key = F.col("p_partkey")
+    part = F.concat(
+        F.when(key % 2 == 0, F.lit("/parts/")).otherwise(F.lit("^/parts/")), key.cast("string"),
+        F.lit("/suppliers/(?P<supplier>[0-9]+)$"),
+    )
+    parts = spark.read.parquet(f"{sf}/part.parquet").select((key + 10).cast("int").alias("route_id"), part.alias("pattern"))
+    first = spark.range(3).select(
+        F.col("id").cast("int").alias("route_id"),
+        F.concat(F.lit("^/parts/(?P<part>[0-9]*"), F.col("id").cast("string"), F.lit(")/suppliers/"), (F.col("id") + 4).cast("string"), F.lit("$")).alias("pattern"),
+    )
+    return first.unionByName(parts)
+
 
+def route_index_counts(spark, sf):
+    """A list of routes as long as the table of parts."""
+    log = apply_route_index(_part_log(spark, sf), _index(spark, _part_routes(spark, sf)))
+    return log.groupBy("route_id", "uri").agg(F.count("*").alias("count"))
+
+
+def route_index_params(spark, sf):
+    found = route_params(_part_log(spark, sf), _index(spark, _part_routes(spark, sf)))
+    return found.select("uri", "position", "name", "value", "count")
 
 def path_params(spark, sf):
     values = params.param_values(_routed(spark, sf), [ROUTE], "path")
@@ -246,6 +308,11 @@ def query_combo_stat(spark, sf):
     )
 
 
+def param_stat_display(spark, sf):
+    """The report as it is read, with numbers as text."""
+    return reports.param_stat_report(_routed(spark, sf), [ROUTE], display=True)
+
+
 # --- Trend -------------------------------------------------------------------
 
 
@@ -285,6 +352,17 @@ def trend_wide(spark, sf):
     return trend.trend_wide(_events(spark, sf), 10 * DAY)
 
 
+def report_files(spark, sf):
+    """A report written as CSV and as TSV, and both read back as text with its schema."""
+    table = trend.trend_wide(_events(spark, sf), 10 * DAY)
+    folder, found = _scratch(spark), []
+    for format, sep in (("csv", ","), ("tsv", "\t")):
+        write_report(table, f"{folder}/{format}", format)
+        read = spark.read.schema(table.schema).option("header", True).option("enforceSchema", False).option("sep", sep)
+        found.append(read.csv(f"{folder}/{format}").withColumn("format", F.lit(format)))
+    return found[0].unionByName(found[1])
+
+
 # --- Transitions -------------------------------------------------------------
 
 
@@ -363,6 +441,11 @@ def scenarios_events(spark, sf):
     return found.select("first_req_ms", "last_req_ms", "count", "pattern")
 
 
+def scenarios_all_events(spark, sf):
+    """The scenarios of all users but those of the last twentieth of the period."""
+    return scenario.scenarios(_events(spark, sf)).select("first_req_ms", "last_req_ms", "count", "pattern")
+
+
 def scenario_nodes(spark, sf):
     talks = _talks(spark, sf)
     return _rounded(graph.scenario_nodes(scenario.scenarios(talks), scenario.user_count(talks)), "intensity")
@@ -381,16 +464,26 @@ def _stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _folders(spark):
-    """New folders for the output and the checkpoint of a stream.
+def _scratch(spark):
+    """A new folder that all executors share; where the session names none, as in tests, this machine is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="hitpath-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/query-{uuid.uuid4().hex}"
+
 
-    Where the session names no shared folder, as in tests, this machine is all there is.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hitpath-")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+def _folders(spark):
+    """New folders for the output and the checkpoint of a stream."""
+    run = _scratch(spark)
     return f"{run}/out", f"{run}/checkpoint"
 
 
+def _replayed(spark, sf):
+    """The log as a stream, part by part, each a micro-batch at least."""
+    yield from replay_entries(_events(spark, sf), f"{_scratch(spark)}/replay")
+
+
 def stream_trend_days(spark, sf):
     found = stream_trend.windowed_counts(event_requests(_stream(spark, sf)), DAY, "1 hour")
     return stream_trend.run_append(found, *_folders(spark)).select(
@@ -415,15 +508,48 @@ def stream_param_counts(spark, sf):
     return stream_counts.run_complete(found, *_folders(spark)).select("endpoint", "key", "value", "count")
 
 
+def stream_combo_counts(spark, sf):
+    out, checkpoint = _folders(spark)
+    for log in _replayed(spark, sf):
+        table = stream_counts.run_complete(stream_counts.combo_counts(log), out, checkpoint)
+    found = params.of_queried_endpoints(table).where("kind = 'key'")
+    return found.select(endpoint().alias("endpoint"), "combo", "count")
+
+
+def stream_scenarios(spark, sf):
+    """The patterns of all users, folded on from one micro-batch to the next."""
+    stream_transitions.use_rocksdb(spark)
+    out, checkpoint = _folders(spark)
+    for log in _replayed(spark, sf):
+        found = stream_counts.run_update(stream_scenario.user_patterns(log), ["uid"], out, checkpoint)
+    return found.select("uid", "pattern", F.size("leaves").alias("leaves"))
+
+
+IDLE_MS = 12 * 3600 * 1000
+
+
+def stream_transition_exits(spark, sf):
+    """Steps of users who leave when they are idle for half a day, the last exits by timers."""
+    stream_transitions.use_rocksdb(spark)
+    out, checkpoint = _folders(spark)
+    for log in _replayed(spark, sf):
+        found = stream_trend.run_append(stream_transitions.steps(log, idle_ms=IDLE_MS), out, checkpoint)
+    return found.groupBy("source", "target").agg(F.count("*").alias("count"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "ltsv_parse": ltsv_parse,
         "ltsv_parse_labels": ltsv_parse_labels,
         "ltsv_rejects": ltsv_rejects,
+        "ltsv_file_lines": ltsv_file_lines,
+        "entries_between": entries_between,
         "request_parts": request_parts,
         "filter_entries": filter_rows,
         "route_groups": route_groups,
         "route_groups_join": route_groups_join,
+        "route_index_counts": route_index_counts,
+        "route_index_params": route_index_params,
         "path_params": path_params,
         "path_param_counts": path_param_counts,
         "query_tokens": query_tokens,
@@ -435,6 +561,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "param_gini": param_gini,
         "param_stat": param_stat,
         "param_stat_query_only": param_stat_query_only,
+        "param_stat_display": param_stat_display,
         "param_stat_events": param_stat_events,
         "param_top_values": param_top_values,
         "param_top_values_events": param_top_values_events,
@@ -446,6 +573,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trend_vector": trend_vector,
         "trend_sorted": trend_sorted,
         "trend_wide": trend_wide,
+        "report_files": report_files,
         "transition_edges": transition_edges,
         "transition_matrix": transition_matrix,
         "transition_nodes": transition_nodes,
@@ -459,13 +587,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scenario_patterns_events": scenario_patterns_events,
         "scenarios": scenarios,
         "scenarios_events": scenarios_events,
+        "scenarios_all_events": scenarios_all_events,
         "scenario_nodes": scenario_nodes,
         "scenario_edges": scenario_edges,
         "stream_trend": stream_trend_days,
         "stream_transitions": stream_transition_edges,
         "stream_endpoint_counts": stream_endpoint_counts,
         "stream_param_counts": stream_param_counts,
-        **(llm_queries.queries() | {"pipeline": corpus_pipeline.run} if _LLM else {}),
+        "stream_combo_counts": stream_combo_counts,
+        "stream_scenarios": stream_scenarios,
+        "stream_transition_exits": stream_transition_exits,
+        **(llm_queries.queries() | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
 
@@ -582,6 +714,20 @@ c AS (
 k AS (SELECT endpoint, count(*) > 1 AS shown FROM c WHERE kind = 'key' AND NOT is_none GROUP BY ALL)"""
 )
 
+# order lines as requests of parts, with the first of the routes that fits
+_PARTS = """
+l AS (
+  SELECT l_partkey AS part, l_suppkey AS supplier, l_linenumber = 7 AS mirror,
+         CASE WHEN l_linenumber = 7 THEN '/mirror' ELSE '' END || '/parts/' || l_partkey || '/suppliers/' || l_suppkey AS path
+  FROM lineitem),
+m AS (
+  SELECT part, supplier, CASE WHEN NOT mirror AND supplier BETWEEN 4 AND 6 AND part % 10 = supplier - 4 THEN supplier - 4
+                              WHEN p_partkey IS NULL OR (mirror AND part % 2 = 1) THEN NULL ELSE part + 10 END::INTEGER AS route_id,
+         CASE WHEN route_id IS NULL THEN path
+              WHEN route_id < 10 THEN '^/parts/(?P<part>[0-9]*' || route_id || ')/suppliers/' || supplier || '$'
+              ELSE CASE WHEN part % 2 = 0 THEN '' ELSE '^' END || '/parts/' || part || '/suppliers/(?P<supplier>[0-9]+)$' END AS uri
+  FROM l LEFT JOIN part ON p_partkey = part)"""
+
 _TREND = (
     _E
     + """,
@@ -657,17 +803,17 @@ _PATTERN = """array_to_string(list_transform(range(1, len({w}) + 1), lambda i:
            repeat('(', len(list_filter({loops}, lambda l: l.lo = i))) || {w}[i]
            || repeat(')*', len(list_filter({loops}, lambda l: l.hi = i)))), ' -> ')"""
 
-# patterns of early users, by leaves from the last text to the first: each joins the first one before it whose loops
+# patterns of users in time, by leaves from the last text to the first: each joins the first one before it whose loops
 # it does not cross
 _MERGED = (
     _FOLD
-    + _WINDOW.removeprefix(_E).rpartition("\nSELECT uid")[0].format(share=0.005)
+    + _WINDOW.removeprefix(_E).rpartition("\nSELECT uid")[0]
     + f""",
 same AS (
   SELECT w, list_sort(loops) AS loops, {_PATTERN.format(w="w", loops="list_sort(loops)")} AS pattern, count(*) AS count,
          min(first_req_ms) AS a, max(last_req_ms) AS b
   FROM folded JOIN f USING (uid)
-  WHERE first_req_ms <= (SELECT floor(((max(us) - min(us)) // 1000)::DOUBLE * 0.005::DOUBLE) FROM e)
+  WHERE first_req_ms <= (SELECT floor(((max(us) - min(us)) // 1000)::DOUBLE * SHARE::DOUBLE) FROM e)
   GROUP BY w, list_sort(loops)),
 given AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pattern DESC) AS k FROM same),
 kept AS (
@@ -722,6 +868,14 @@ def _with(ctes: str, body: str) -> str:
 def oracle_sql() -> dict[str, str]:
     parsed = "ord AS event_id, method, uri, query, status, uid, set_new_uid, us // 1000000 AS time_s"
     level = {"level": "count", "max": "total"}
+    merged = _with(
+        _MERGED,
+        f"""SELECT c.a AS first_req_ms, c.b AS last_req_ms, CAST(c.count AS BIGINT) AS count,
+                  {_PATTERN.format(w="w", loops="c.loops")} AS pattern FROM merged""",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+    patterns = _with(
+        _FOLD, f"SELECT uid, {_PATTERN.format(w='w', loops='loops')} AS pattern, CAST(len(w) AS INTEGER) AS leaves FROM folded"
+    ).replace("WITH", "WITH RECURSIVE", 1)
     return {
         "ltsv_parse": _with(_E, f"SELECT {parsed} FROM e"),
         "ltsv_parse_labels": _with(_E, f"SELECT {parsed} FROM e"),
@@ -730,6 +884,16 @@ def oracle_sql() -> dict[str, str]:
                         WHEN value < 15 THEN 'bad time' WHEN value < 20 THEN 'missing req' WHEN value < 25 THEN 'ok'
                         WHEN value < 30 THEN 'missing uid' ELSE 'ok' END AS error, count(*) AS lines
             FROM events GROUP BY 1""",
+        "ltsv_file_lines": _with(
+            _E,
+            """SELECT CAST(ord % 4 AS INTEGER) AS server, row_number() OVER (PARTITION BY ord % 4 ORDER BY ord) AS line,
+                      method, uri, query, uid FROM e""",
+        ),
+        "entries_between": _with(
+            _E,
+            """SELECT ord AS event_id, method, uri, uid FROM e
+               WHERE "time" >= TIMESTAMP '2024-01-10 10:00:00' AND "time" < TIMESTAMP '2024-01-12 00:30:00'""",
+        ),
         "request_parts": _with(_P, "SELECT page_id, method, path, query FROM p"),
         "filter_entries": _with(
             _E,
@@ -755,6 +919,13 @@ def oracle_sql() -> dict[str, str]:
                SELECT 'GET ' || coalesce(hit.pattern, path) AS endpoint, count(*) AS count
                FROM p LEFT JOIN hit USING (page_id) GROUP BY 1""",
         ),
+        "route_index_counts": _with(_PARTS, "SELECT route_id, uri, count(*) AS count FROM m GROUP BY ALL"),
+        "route_index_params": _with(
+            _PARTS,
+            """SELECT uri, 1 AS position, CASE WHEN route_id < 10 THEN 'part' ELSE 'supplier' END AS name,
+                      CAST(CASE WHEN route_id < 10 THEN part ELSE supplier END AS VARCHAR) AS value, count(*) AS count
+               FROM m WHERE route_id IS NOT NULL GROUP BY ALL""",
+        ),
         "path_params": _with(
             _ROUTED,
             """SELECT endpoint, 1 AS position, 'lang' AS name,
@@ -798,6 +969,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "param_stat": _with(_PAGE_VALUES + _STAT, _STAT_ROWS),
         "param_stat_query_only": _with(_PAGE_VALUES + _STAT, _STAT_ROWS + " WHERE type = 'query'"),
+        "param_stat_display": _with(
+            _PAGE_VALUES + _STAT,
+            """SELECT endpoint, type, parameter, format('{:,}', count) AS count,
+                      printf('%.2f', 100.0::DOUBLE * count / requests) AS percent,
+                      format('{:,}', cardinality) AS cardinality, printf('%.3f', gini) AS gini
+               FROM s JOIN n USING (endpoint)""",
+        ),
         "param_stat_events": _with(_EVENT_VALUES + _STAT, _STAT_ROWS),
         "param_top_values": _with(_PAGE_VALUES, _TOP.format(num=3)),
         "param_top_values_events": _with(_EVENT_VALUES, _TOP.format(num=5)),
@@ -851,6 +1029,12 @@ def oracle_sql() -> dict[str, str]:
             """SELECT method, uri, count(*) FILTER (WHERE step = 0) AS "0", count(*) FILTER (WHERE step = 1) AS "864000",
                       count(*) FILTER (WHERE step = 2) AS "1728000" FROM b GROUP BY method, uri""",
         ),
+        "report_files": _with(
+            _TREND.format(interval=10 * DAY),
+            """SELECT method, uri, count(*) FILTER (WHERE step = 0) AS "0", count(*) FILTER (WHERE step = 1) AS "864000",
+                      count(*) FILTER (WHERE step = 2) AS "1728000", unnest(['csv', 'tsv']) AS format
+               FROM b GROUP BY method, uri""",
+        ),
         "transition_edges": _with(_EDGES, "SELECT source, target, count FROM edges"),
         "transition_matrix": _with(
             _EDGES,
@@ -905,14 +1089,9 @@ def oracle_sql() -> dict[str, str]:
             _TALKS,
             "SELECT CAST(conv_id AS VARCHAR) AS conv_id, array_to_string(parts, ' -> ') AS pattern FROM shapes",
         ),
-        "scenario_patterns_events": _with(
-            _FOLD, f"SELECT uid, {_PATTERN.format(w='w', loops='loops')} AS pattern, CAST(len(w) AS INTEGER) AS leaves FROM folded"
-        ).replace("WITH", "WITH RECURSIVE", 1),
-        "scenarios_events": _with(
-            _MERGED,
-            f"""SELECT c.a AS first_req_ms, c.b AS last_req_ms, CAST(c.count AS BIGINT) AS count,
-                      {_PATTERN.format(w="w", loops="c.loops")} AS pattern FROM merged""",
-        ).replace("WITH", "WITH RECURSIVE", 1),
+        "scenario_patterns_events": patterns,
+        "scenarios_events": merged.replace("SHARE", "0.005"),
+        "scenarios_all_events": merged.replace("SHARE", "0.95"),
         "scenarios": _with(_TALKS, "SELECT first_req_ms, last_req_ms, count, pattern FROM sc"),
         "scenario_nodes": _with(
             _TALKS,
@@ -950,7 +1129,21 @@ def oracle_sql() -> dict[str, str]:
         "stream_param_counts": _with(
             _E + _EVENT_TOKENS, "SELECT endpoint, key, value, count(*) AS count FROM t GROUP BY ALL"
         ),
-        **(llm_queries.oracle_sql() if _LLM else {}),
+        "stream_combo_counts": _with(_E, "SELECT endpoint, 'k' AS combo, count(*) AS count FROM e GROUP BY endpoint"),
+        "stream_scenarios": patterns,
+        "stream_transition_exits": _with(
+            _E,
+            f""", w AS (
+                 SELECT uid, endpoint, us, lag(us) OVER u AS us0, lag(endpoint) OVER u AS before, lead(us) OVER u IS NULL AS last
+                 FROM e WINDOW u AS (PARTITION BY uid ORDER BY us, ord)),
+               x AS (
+                 SELECT CASE WHEN us - us0 > {IDLE_MS * 1000} THEN '' ELSE coalesce(before, '') END AS source, endpoint AS target FROM w
+                 UNION ALL SELECT before, '' FROM w WHERE us - us0 > {IDLE_MS * 1000}
+                 UNION ALL SELECT endpoint, '' FROM w
+                 WHERE last AND us // 1000 + {IDLE_MS} < (SELECT max(us) // 1000 FROM e))
+               SELECT source, target, count(*) AS count FROM x GROUP BY ALL""",
+        ),
+        **(llm_queries.oracle_sql() if llm_queries else {}),
     }
 
 

@@ -128,7 +128,8 @@ def query_key_counts(entries: DataFrame) -> DataFrame:
     )
 
 
-def _combo_counts(entries: DataFrame) -> DataFrame:
+def combo_counts(entries: DataFrame) -> DataFrame:
+    """Counts of the combinations of all endpoints, also of those that never have a query; batch or stream."""
     whole = F.array_join(F.sort_array(F.split("query", "&")), "&")
     keys = F.array_join(F.regexp_extract_all("_tokens", F.lit("(?:^|&)([^=&]*)="), F.lit(1)), "&")
     none = F.col("query") == ""
@@ -168,7 +169,11 @@ def query_combos(entries: DataFrame) -> DataFrame:
     token order. Requests without a query count as ``(none)``, for endpoints
     that have a query at least once. That test reads the same shuffled counts.
     """
-    counts = _combo_counts(entries)
+    return of_queried_endpoints(combo_counts(entries))
+
+
+def of_queried_endpoints(counts: DataFrame) -> DataFrame:
+    """The counts of endpoints with at least one query."""
     return counts.join(_combo_totals(counts).select(*COMBO), COMBO, "left_semi")
 
 
@@ -335,7 +340,7 @@ def query_combo_stat(entries: DataFrame, corrected: bool = False) -> DataFrame:
     coefficient. ``shown`` tells whether the endpoint has more than one key
     combination, the rule by which the detail report lists either kind.
     """
-    stats = distribution(_combo_counts(entries), COMBO, ~F.col("is_none"), corrected)
+    stats = distribution(combo_counts(entries), COMBO, ~F.col("is_none"), corrected)
     return _with_shown(stats).select(
         endpoint().alias("endpoint"), *COMBO, "count", "cardinality", "gini", "shown"
     )
@@ -344,7 +349,7 @@ def query_combo_stat(entries: DataFrame, corrected: bool = False) -> DataFrame:
 def query_combo_top(entries: DataFrame, num: int = 5) -> DataFrame:
     """The most frequent combinations with their share of the endpoint's requests."""
     _check_num(num)
-    counts = _combo_counts(entries)
+    counts = combo_counts(entries)
     return (
         _top(counts, COMBO, "combo", num)
         .join(_combo_totals(counts), COMBO)

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitpath.functions.request import computed_once, text_after, with_request_parts
@@ -144,12 +144,41 @@ def parse_lines(
     return df.select(*ENTRY_COLUMNS, *extra)
 
 
-def read_ltsv(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The lines of text files, blank ones too, as ``(value, ord)`` with ``ord`` the file and the line number, from 1.
+
+    Spark cuts files into splits and knows a line's place in its split only.
+    A first pass counts the lines of every split; what the splits before it in
+    the file add up to is where its own numbers begin. That table has a row
+    per split, so the second pass, which reads the texts, is not shuffled
+    unless it is larger than a broadcast may be.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    splits = spark.read.text(paths).select(*place, row).groupBy("file", "block").agg(
+        F.count("*").alias("rows"), F.min("row").alias("first")
+    )
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of a split follow one another, and both passes cut files alike.
+    begins = splits.select(
+        "file", "block", (F.coalesce(F.sum("rows").over(ahead), F.lit(0)) - F.col("first") + 1).alias("shift")
+    )
+    lines = spark.read.text(paths).select("value", *place, row)
+    return lines.join(begins, ["file", "block"]).select(
+        "value", F.struct("file", (F.col("row") + F.col("shift")).alias("line")).alias("ord")
+    )
+
+
+def read_ltsv(spark: SparkSession, paths: str | list[str], line_numbers: bool = False, **options) -> DataFrame:
     """Read one or more LTSV files, directories or globs into entries.
 
     ``ord`` keeps the order of lines: by file, then by the offset of the split
-    within the file, then by the row within the split.
+    within the file, then by the row within the split. With ``line_numbers``
+    it is the file and the number of the line in it, which takes a pass more
+    to count lines, see :func:`numbered_lines`.
     """
+    if line_numbers:
+        return parse_lines(numbered_lines(spark, paths), **options)
     lines = spark.read.text(paths).select(
         "value",
         F.struct(

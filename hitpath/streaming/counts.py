@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hitpath.functions.request import endpoint
 from hitpath.operators import params, trend
@@ -21,6 +22,44 @@ def query_value_counts(entries: DataFrame) -> DataFrame:
     return values.select(endpoint().alias("endpoint"), F.col("name").alias("key"), "value", "count")
 
 
+def combo_counts(entries: DataFrame) -> DataFrame:
+    """Counts of query key combinations and of whole key-value combinations so far.
+
+    An endpoint's requests without a query count once it has had one. Before
+    that they are kept under ``(none)`` all the same, as the query may still come;
+    ``params.of_queried_endpoints`` leaves such endpoints out of the table.
+    """
+    return params.combo_counts(entries)
+
+
+def run_update(stream: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process what is available in update mode and return the last row of each key.
+
+    Each micro-batch writes its updates to a folder named after it, so that a
+    repeated batch replaces its own only; the result is read from all of them.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_dir(spark, "stream-updates")
+    # There may be no batch at all.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def save(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(save)
+        .option("checkpointLocation", checkpoint or scratch_dir(spark, "stream-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    updates = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(path)
+    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return latest.select(*keys, "_last.*").select(*stream.columns)
+
+
 def run_complete(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what is available and return the resulting table.
 
