@@ -127,6 +127,31 @@ def test_files_keep_line_order_across_splits(spark, tmp_path):
     assert got == list(range(2000)) + list(range(5000, 7000))
 
 
+@pytest.mark.parametrize("split_bytes, open_bytes", [("128m", "4m"), ("20000", "0"), ("1000", "0")])
+def test_line_numbers_of_files(spark, tmp_path, split_bytes, open_bytes):
+    """Blank lines count; one split, several, and some two hundred."""
+    want = []
+    for name, n in (("a.log", 1500), ("b.log", 40), ("c.log", 0)):
+        lines = []
+        for i in range(1, n + 1):
+            lines.append("" if i % 9 == 0 else log_line(i % 3, f"GET /{name[0]}{i} HTTP/1.1", "u", True))
+            if lines[-1]:
+                want.append((name, i, f"/{name[0]}{i}"))
+        (tmp_path / name).write_text("\n".join(lines) + "\n" * (name == "a.log"))
+    before = [spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", open_bytes)
+    try:
+        df = read_ltsv(spark, str(tmp_path / "*.log"), line_numbers=True)
+        got = rows(df.select(F.element_at(F.split("ord.file", "/"), -1), "ord.line", "uri"))
+        if split_bytes == "1000":
+            assert df.rdd.getNumPartitions() > 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(got) == sorted(want)
+
+
 def test_missing_file_is_named(spark):
     with pytest.raises(PySparkException, match="not_exists.log"):
         read_ltsv(spark, "./not_exists.log")
@@ -142,6 +167,23 @@ def test_store_round_trip(spark, tmp_path):
     assert "EqualTo(status,200)" in plan and "query" not in plan.split("ReadSchema")[1]
 
 
+def test_times_rule_out_days(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(log_line(i * 3600, f"GET /{i} HTTP/1.1", "u", i == 0) for i in range(18)))
+    day = F.expr("make_interval(0, 0, 0, 1)")
+    parsed = read_ltsv(spark, str(tmp_path / "a.log"))
+    for i in range(6):
+        write_entries(parsed.withColumn("time", F.col("time") + day * i), str(tmp_path / "entries"), mode="append")
+    whole = read_entries(spark, str(tmp_path / "entries"))
+    cut = read_entries(spark, str(tmp_path / "entries"), "2024-03-09 12:30:00Z", "2024-03-10 11:00:00Z")
+    want = whole.where("time >= TIMESTAMP '2024-03-09 12:30:00Z' AND time < TIMESTAMP '2024-03-10 11:00:00Z'")
+    assert sorted(rows(cut, "time", "uri")) == sorted(rows(want, "time", "uri")) and want.count() > 0
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan.split("PartitionFilters")[1]
+    days = {f.split("date=")[1][:10] for f in cut.inputFiles()}
+    assert len({r[0] for r in whole.select("date").distinct().collect()}) > len(rows(cut.select("date").distinct()))
+    assert days
+
+
 @pytest.mark.parametrize("format, sep", [("csv", ","), ("tsv", "\t")])
 def test_report_files(spark, tmp_path, format, sep):
     table = spark.createDataFrame([("GET", "/", 1234)], "Method string, Uri string, `0` int").coalesce(1)

@@ -102,6 +102,45 @@ def test_idle_users_leave(spark, tmp_path):
     )
 
 
+def test_patterns_go_on_over_batches(folder, spark):
+    """Five micro-batches, and new user ids in the middle of them."""
+    from hitpath.operators import scenario
+    from hitpath.streaming import scenarios
+
+    log, source, tmp = folder
+    found = scenarios.user_patterns(stream(spark, source))
+    out = counts.run_update(found, ["uid"], str(tmp / "out"), str(tmp / "ck"))
+    want = scenario.user_patterns(stream_batch(spark, source))
+    columns = ["uid", "first_us", "last_us", "pattern", "leaves"]
+    assert out.columns == columns
+    assert sorted(rows(out, *columns)) == sorted(rows(want, *columns)) and len({u for u, *_ in rows(want)}) > 1
+    assert spark.read.parquet(str(tmp / "out")).select("batch").distinct().count() >= 3
+
+
+def stream_batch(spark, source):
+    from hitpath.sources.ltsv import read_ltsv
+
+    return read_ltsv(spark, source)
+
+
+def test_no_batches(spark, tmp_path):
+    from hitpath.streaming import scenarios
+
+    (tmp_path / "in").mkdir()
+    out = counts.run_update(scenarios.user_patterns(stream(spark, str(tmp_path / "in"))), ["uid"], str(tmp_path / "o"), str(tmp_path / "c"))
+    assert rows(out) == []
+
+
+def test_combinations_of_a_stream(folder, spark):
+    from hitpath.operators import params
+
+    log, source, tmp = folder
+    table = counts.run_complete(counts.combo_counts(stream(spark, source)), str(tmp / "a"), str(tmp / "b"))
+    got = params.of_queried_endpoints(table)
+    want = params.query_combos(stream_batch(spark, source))
+    assert sorted(rows(got, *want.columns)) == sorted(rows(want))
+
+
 def test_running_counts(folder, spark):
     log, source, tmp = folder
     out = counts.run_complete(counts.endpoint_counts(stream(spark, source)), str(tmp / "a"), str(tmp / "b"))
