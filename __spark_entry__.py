@@ -21,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from hitpath.functions.request import endpoint
 from hitpath.functions.scores import log_norm
-from hitpath.operators import graph, params, scenario, transition, trend
+from hitpath.operators import graph, params, paramstate, scenario, transition, trend
 from hitpath.operators.filters import filter_entries
 from hitpath.operators.routeindex import RouteIndex, apply_route_index, route_params, write_route_index
 from hitpath.operators.routes import Routes, apply_routes
@@ -277,6 +277,31 @@ def param_stat_events(spark, sf):
     return _stat(params.param_stat(_events(spark, sf)))
 
 
+def _param_days(spark, sf):
+    """The state of the log's parameters, stored in two goes."""
+    folder, log = f"{_scratch(spark)}/params", _events(spark, sf)
+    early = F.to_date("time") < F.lit("2024-01-12").cast("date")
+    paramstate.write_param_state(log.where(early), folder)
+    paramstate.write_param_state(log.where(~early), folder)
+    return folder
+
+
+def param_stat_days(spark, sf):
+    """Statistics of all stored days, united."""
+    return _stat(paramstate.param_stat_of_days(spark, _param_days(spark, sf)))
+
+
+def param_stat_some_days(spark, sf):
+    """Statistics of a week of them."""
+    return _stat(paramstate.param_stat_of_days(spark, _param_days(spark, sf), "2024-01-08", "2024-01-14"))
+
+
+def param_cardinality_days(spark, sf):
+    """Distinct values by sketches, which are exact for so few."""
+    found = paramstate.param_cardinality_of_days(spark, _param_days(spark, sf))
+    return found.select("endpoint", "type", "parameter", "cardinality", "count")
+
+
 def param_top_values(spark, sf):
     top = params.param_top_values(_routed(spark, sf), [ROUTE], num=3)
     return top.select(
@@ -498,6 +523,16 @@ def stream_transition_edges(spark, sf):
     return done.groupBy("source", "target").agg(F.count("*").alias("count"))
 
 
+def stream_trend_signal(spark, sf):
+    """The flags of all closed six-hour buckets, from the log part by part."""
+    stream_transitions.use_rocksdb(spark)
+    out, checkpoint = _folders(spark)
+    origin = _events(spark, sf).agg(F.unix_micros(F.min("time"))).first()[0]
+    for log in _replayed(spark, sf):
+        found = stream_trend.run_append(stream_trend.signals(log, 6 * 3600, origin, "1 hour"), out, checkpoint)
+    return found.select("endpoint", "step", "count", "signal")
+
+
 def stream_endpoint_counts(spark, sf):
     found = stream_counts.endpoint_counts(event_requests(_stream(spark, sf)))
     return stream_counts.run_complete(found, *_folders(spark)).select("endpoint", "count")
@@ -563,6 +598,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "param_stat_query_only": param_stat_query_only,
         "param_stat_display": param_stat_display,
         "param_stat_events": param_stat_events,
+        "param_stat_days": param_stat_days,
+        "param_stat_some_days": param_stat_some_days,
+        "param_cardinality_days": param_cardinality_days,
         "param_top_values": param_top_values,
         "param_top_values_events": param_top_values_events,
         "query_combo_top": query_combo_top,
@@ -591,6 +629,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scenario_nodes": scenario_nodes,
         "scenario_edges": scenario_edges,
         "stream_trend": stream_trend_days,
+        "stream_trend_signal": stream_trend_signal,
         "stream_transitions": stream_transition_edges,
         "stream_endpoint_counts": stream_endpoint_counts,
         "stream_param_counts": stream_param_counts,
@@ -977,6 +1016,13 @@ def oracle_sql() -> dict[str, str]:
                FROM s JOIN n USING (endpoint)""",
         ),
         "param_stat_events": _with(_EVENT_VALUES + _STAT, _STAT_ROWS),
+        "param_stat_days": _with(_EVENT_VALUES + _STAT, _STAT_ROWS),
+        "param_stat_some_days": _with(
+            _EVENT_VALUES.replace("FROM events)", "FROM events),\ne0 AS (SELECT * FROM e WHERE \"time\" >= TIMESTAMP '2024-01-08' AND \"time\" < TIMESTAMP '2024-01-15')", 1)
+            .replace("FROM e)", "FROM e0)").replace("FROM e GROUP", "FROM e0 GROUP") + _STAT,
+            _STAT_ROWS,
+        ),
+        "param_cardinality_days": _with(_EVENT_VALUES + _STAT, "SELECT endpoint, type, parameter, cardinality, count FROM s"),
         "param_top_values": _with(_PAGE_VALUES, _TOP.format(num=3)),
         "param_top_values_events": _with(_EVENT_VALUES, _TOP.format(num=5)),
         "query_combo_top": _with(
@@ -1124,6 +1170,15 @@ def oracle_sql() -> dict[str, str]:
                SELECT endpoint, window_s, count FROM d
                WHERE (window_s + 86400) * 1000 <= (SELECT max(us) // 1000 FROM e) - 3600000""",
         ),
+        "stream_trend_signal": _with(
+            _TREND.format(interval=6 * 3600),
+            """, z AS (SELECT *, lag(count) OVER (PARTITION BY endpoint ORDER BY step) AS prev FROM d)
+               SELECT endpoint, step, count,
+                      CASE WHEN step > 0 AND count * 2 > prev * 3 THEN 'up' WHEN count = 0 THEN 'zero'
+                           WHEN step > 0 AND count * 3 < prev * 2 THEN 'down' ELSE '' END AS signal
+               FROM z
+               WHERE (SELECT min(us) FROM e) + (step + 1) * 21600000000 <= ((SELECT max(us) // 1000 FROM e) - 3600000) * 1000""",
+        ),
         "stream_transitions": _with(_EDGES, "SELECT source, target, count FROM edges WHERE target <> ''"),
         "stream_endpoint_counts": _with(_E, "SELECT endpoint, count(*) AS count FROM e GROUP BY endpoint"),
         "stream_param_counts": _with(

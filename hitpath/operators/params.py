@@ -31,12 +31,15 @@ def _check_kind(kind: str) -> str:
     return kind
 
 
-def _pieces(entries: DataFrame, routes: Routes | Iterable[str], kind: str, marker: bool) -> DataFrame:
+def _pieces(
+    entries: DataFrame, routes: Routes | Iterable[str], kind: str, marker: bool, by: Iterable[str] = ()
+) -> DataFrame:
     """One row per path group value and query token of each request.
 
     Group values and tokens are put in one array and exploded by position, so
     both kinds come out of a single scan. With ``marker`` each request also
-    yields a row of kind ``request``, which counts the endpoint.
+    yields a row of kind ``request``, which counts the endpoint. Columns
+    ``by`` go along.
     """
     if not isinstance(routes, Routes):
         routes = Routes(routes)
@@ -64,6 +67,7 @@ def _pieces(entries: DataFrame, routes: Routes | Iterable[str], kind: str, marke
     offset = 1 if marker else 0
 
     rows = entries.select(
+        *by,
         "method",
         "uri",
         names.alias("_names"),
@@ -74,6 +78,7 @@ def _pieces(entries: DataFrame, routes: Routes | Iterable[str], kind: str, marke
     request, grouped = at < 0, (at >= 0) & (at < F.col("_width"))
     cut = F.instr(text, "=")
     return rows.where(request | grouped | (cut > 0)).select(
+        *by,
         "method",
         "uri",
         F.when(request, "request").when(grouped, "path").otherwise("query").alias("kind"),
@@ -86,10 +91,13 @@ def _pieces(entries: DataFrame, routes: Routes | Iterable[str], kind: str, marke
     )
 
 
-def _value_counts(entries, routes, kind: str, marker: bool) -> DataFrame:
+def value_counts(
+    entries: DataFrame, routes: Routes | Iterable[str], kind: str, marker: bool, by: Iterable[str] = ()
+) -> DataFrame:
+    """How often each value occurs; with ``marker`` also each endpoint, as a parameter of kind ``request``."""
     return (
-        _pieces(entries, routes, _check_kind(kind), marker)
-        .groupBy(*PARAM, "value")
+        _pieces(entries, routes, _check_kind(kind), marker, by)
+        .groupBy(*by, *PARAM, "value")
         .agg(F.count("*").alias("count"))
     )
 
@@ -100,7 +108,7 @@ def param_values(entries: DataFrame, routes: Routes | Iterable[str] = (), kind:
     Path parameters are the capture groups of the matched route, numbered from
     1 and named if the group is; query parameters have position 0.
     """
-    return _value_counts(entries, routes, kind, marker=False)
+    return value_counts(entries, routes, kind, marker=False)
 
 
 def query_tokens(entries: DataFrame) -> DataFrame:
@@ -223,7 +231,7 @@ def distribution(
     )
 
 
-def _parameter() -> Column:
+def label_of_parameter() -> Column:
     return parameter_label(F.col("kind"), F.col("position"), F.col("name"))
 
 
@@ -238,7 +246,11 @@ def param_stat(
     A path parameter occurs in every request of its endpoint. The requests of
     an endpoint travel through the same counts as a parameter of their own.
     """
-    counts = _value_counts(entries, routes, kind, marker=True)
+    return stat_of_counts(value_counts(entries, routes, kind, marker=True), corrected)
+
+
+def stat_of_counts(counts: DataFrame, corrected: bool = False) -> DataFrame:
+    """The statistics of a table of value counts that has those of the endpoints."""
     stats = distribution(counts, PARAM, corrected=corrected)
     of_endpoint = Window.partitionBy("method", "uri")
     requests = F.max(F.when(F.col("kind") == "request", F.col("count"))).over(of_endpoint)
@@ -251,7 +263,7 @@ def param_stat(
             "uri",
             F.col("kind").alias("type"),
             "position",
-            _parameter().alias("parameter"),
+            label_of_parameter().alias("parameter"),
             "count",
             rate(F.col("count"), F.col("requests")).alias("rate"),
             percent_text(F.col("count"), F.col("requests")).alias("percent"),
@@ -275,7 +287,7 @@ def param_cardinality(
         pieces = _pieces(entries, routes, _check_kind(kind), marker=False)
         grouped = pieces.groupBy(*PARAM).agg(F.approx_count_distinct("value", error).alias("cardinality"))
     return grouped.select(
-        endpoint().alias("endpoint"), F.col("kind").alias("type"), "position", _parameter().alias("parameter"), "cardinality"
+        endpoint().alias("endpoint"), F.col("kind").alias("type"), "position", label_of_parameter().alias("parameter"), "cardinality"
     )
 
 
@@ -322,7 +334,7 @@ def param_top_values(
             "uri",
             F.col("kind").alias("type"),
             "position",
-            _parameter().alias("parameter"),
+            label_of_parameter().alias("parameter"),
             "rank",
             "value",
             "count",

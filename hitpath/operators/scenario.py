@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from hitpath.functions.fold import Folder, nests, pattern_text
 from hitpath.functions.request import endpoint
@@ -199,54 +200,146 @@ def user_patterns(entries: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_s: int
     return found
 
 
+class _Class:
+    """Patterns that nest together: which intervals they have, as bits, and their count and times."""
+
+    def __init__(self, bits: int, row: dict):
+        self.bits, self.count = bits, row["count"]
+        self.first, self.last = row["first_req_ms"], row["last_req_ms"]
+
+    def add(self, bits: int, row: dict) -> None:
+        self.bits |= bits
+        self.count += row["count"]
+        self.first = min(self.first, row["first_req_ms"])
+        self.last = max(self.last, row["last_req_ms"])
+
+
+class _Crossings:
+    """The intervals of a group, numbered, each with the bits of those that it partly overlaps."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, int], int] = {}
+        self.crossed: list[int] = []
+
+    def number(self, lo: int, hi: int) -> int:
+        own = self.numbers.get((lo, hi))
+        if own is None:
+            own = len(self.crossed)
+            found = 0
+            for (a, b), i in self.numbers.items():
+                if a < lo <= b < hi or lo < a <= hi < b:
+                    found |= 1 << i
+                    self.crossed[i] |= 1 << own
+            self.numbers[lo, hi] = own
+            self.crossed.append(found)
+        return own
+
+    def of(self, loops: list[dict]) -> tuple[int, int]:
+        """The bits of a pattern's intervals, and of those that cross one of them."""
+        bits = crossed = 0
+        for i in [self.number(loop["lo"], loop["hi"]) for loop in loops]:
+            bits |= 1 << i
+        for i in range(bits.bit_length()):
+            if bits >> i & 1:
+                crossed |= self.crossed[i]
+        return bits, crossed
+
+
 def _merge_compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge patterns with equal leaves whose loops nest together.
 
     Rows arrive ordered by leaves and descending pattern text. Each pattern
-    joins the first earlier one it is compatible with.
+    joins the first earlier one it is compatible with; whether it is, bits of
+    the group's intervals tell.
     """
     schema = pa.schema(
         [("first_req_ms", pa.int64()), ("last_req_ms", pa.int64()), ("count", pa.int64()), *_ARROW_PATTERN]
     )
-    leaves, kept = None, []
+    leaves, crossings, kept = None, _Crossings(), []
 
     def merged() -> list[dict]:
-        return [
-            {
-                "first_req_ms": first,
-                "last_req_ms": last,
-                "count": count,
-                "pattern": pattern_text(leaves, loops),
-                "leaves": leaves,
-                "loops": [{"lo": lo, "hi": hi} for lo, hi in sorted(loops)],
-            }
-            for loops, count, first, last in kept
-        ]
+        found = []
+        for c in kept:
+            loops = sorted(loop for loop, i in crossings.numbers.items() if c.bits >> i & 1)
+            found.append(
+                {
+                    "first_req_ms": c.first,
+                    "last_req_ms": c.last,
+                    "count": c.count,
+                    "pattern": pattern_text(leaves, loops),
+                    "leaves": leaves,
+                    "loops": [{"lo": lo, "hi": hi} for lo, hi in loops],
+                }
+            )
+        return found
 
     for batch in batches:
         done = []
         for row in batch.to_pylist():
             if row["leaves"] != leaves:
                 done += merged()
-                leaves, kept = row["leaves"], []
-            loops = {(loop["lo"], loop["hi"]) for loop in row["loops"]}
-            for i, (others, count, first, last) in enumerate(kept):
-                if nests(loops | others):
-                    kept[i] = (
-                        loops | others,
-                        count + row["count"],
-                        min(first, row["first_req_ms"]),
-                        max(last, row["last_req_ms"]),
-                    )
+                leaves, crossings, kept = row["leaves"], _Crossings(), []
+            bits, crossed = crossings.of(row["loops"])
+            for other in kept:
+                if not other.bits & crossed:
+                    other.add(bits, row)
                     break
             else:
-                kept.append((loops, row["count"], row["first_req_ms"], row["last_req_ms"]))
+                kept.append(_Class(bits, row))
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=schema)
     if kept:
         yield pa.RecordBatch.from_pylist(merged(), schema=schema)
 
 
+@F.arrow_udf(BooleanType())
+def _all_nest(groups: pa.Array) -> pa.Array:
+    """Whether no two intervals of a group partly overlap."""
+    return pa.array([nests({(loop["lo"], loop["hi"]) for loop in loops}) for loops in groups.to_pylist()], pa.bool_())
+
+
+def _text_of(leaves: Column, loops: Column) -> Column:
+    """``A -> (B -> C)*`` from leaves and loops, as ``pattern_text`` has it."""
+
+    def part(leaf: Column, i: Column) -> Column:
+        opened = F.size(F.filter(loops, lambda loop: loop["lo"] == i))
+        closed = F.size(F.filter(loops, lambda loop: loop["hi"] == i))
+        return F.concat(F.repeat(F.lit("("), opened), leaf, F.repeat(F.lit(")*"), closed))
+
+    return F.array_join(F.transform(leaves, part), " -> ")
+
+
+def merge_patterns(patterns: DataFrame) -> DataFrame:
+    """Merge ``(pattern, leaves, loops, count, first_req_ms, last_req_ms)`` with equal leaves whose loops nest.
+
+    Mostly all patterns of the same leaves nest together, which the set of
+    their intervals shows: then sums of the group are the result, made without
+    bringing its patterns together. Only where some cross, patterns are merged
+    one by one in descending order of their text, each with the first
+    earlier one that it nests with.
+    """
+    single = F.col("pos").isNull() | (F.col("pos") == 0)
+    times = [F.min("first_req_ms").alias("first_req_ms"), F.max("last_req_ms").alias("last_req_ms")]
+    groups = (
+        patterns.select("leaves", "count", "first_req_ms", "last_req_ms", F.posexplode_outer("loops").alias("pos", "loop"))
+        .groupBy("leaves")
+        .agg(
+            F.sum(F.when(single, F.col("count")).otherwise(F.lit(0))).alias("count"),
+            *times,
+            F.array_sort(F.collect_set("loop")).alias("loops"),
+        )
+        .withColumn("together", _all_nest("loops"))
+    )
+    columns = ["first_req_ms", "last_req_ms", "count", "pattern", "leaves", "loops"]
+    whole = groups.where("together").withColumn("pattern", _text_of(F.col("leaves"), F.col("loops"))).select(*columns)
+    apart = patterns.join(groups.where("NOT together").select("leaves"), "leaves", "left_semi")
+    ordered = apart.repartition("leaves").sortWithinPartitions("leaves", F.desc("pattern"))
+    resolved = ordered.select("pattern", "leaves", "loops", "count", "first_req_ms", "last_req_ms").mapInArrow(
+        _merge_compatible, f"first_req_ms bigint, last_req_ms bigint, count bigint, {_PATTERN}"
+    )
+    return whole.unionByName(resolved)
+
+
 def scenarios(entries: DataFrame, share: float = LATE_SHARE) -> DataFrame:
     """Scenarios with their first and last call and the number of users."""
     start = micros(origin(entries))
@@ -264,10 +357,7 @@ def scenarios(entries: DataFrame, share: float = LATE_SHARE) -> DataFrame:
             F.max("last_req_ms").alias("last_req_ms"),
         )
     )
-    together = patterns.repartition("leaves").sortWithinPartitions("leaves", F.desc("pattern"))
-    return together.mapInArrow(
-        _merge_compatible, f"first_req_ms bigint, last_req_ms bigint, count bigint, {_PATTERN}"
-    )
+    return merge_patterns(patterns)
 
 
 def order_scenarios(found: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def _signal(step: Column, count: Column, prev: Column) -> Column:
     )
 
 
+def signal_of(step: int, count: int, prev: int) -> str:
+    """The flag of one bucket, by the rule of ``trend_signals``."""
+    if step > 0 and count * 2 > prev * 3:
+        return "up"
+    if count == 0:
+        return "zero"
+    return "down" if step > 0 and count * 3 < prev * 2 else ""
+
+
 def trend_signals(entries: DataFrame, interval: int, dense: bool = True) -> DataFrame:
     """Counts with a surge or drop flag against the bucket before.
 

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hitpath.functions.fold import Folder, pattern_text
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros
-from hitpath.streaming.transitions import order_columns, require_rocksdb
+from hitpath.streaming.state import require_rocksdb
+from hitpath.streaming.transitions import order_columns
 
 _STATE = "first_us bigint, last_us bigint, leaves array<string>, lo array<int>, hi array<int>"
 _PATTERN = "uid string, first_us bigint, last_us bigint, pattern string, leaves array<string>"

@@ -5,17 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from hitpath.functions.request import endpoint
 from hitpath.functions.values import micros
+from hitpath.streaming.state import require_rocksdb, use_rocksdb  # noqa: F401
 
 _STEPS = "uid string, source string, target string"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 _STEP_ROWS = 10_000
@@ -66,16 +65,6 @@ class _LastVisit(StatefulProcessor):
         pass
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Choose the state store this operator needs, for all later streams of the session."""
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-
-
-def require_rocksdb(spark: SparkSession) -> None:
-    if spark.conf.get(_PROVIDER, "") != _ROCKSDB:
-        raise ValueError(f"keyed state needs {_PROVIDER}={_ROCKSDB}; call use_rocksdb(spark) first")
-
-
 def order_columns(entries: DataFrame) -> dict[str, Column]:
     """The parts of ``ord`` as columns of their own: a struct would reach pandas as a dict, which has no order."""
     kind = entries.schema["ord"].dataType

@@ -108,8 +108,9 @@ def test_transitions_scan_the_log_once_per_use(spark, name, scans):
 
 
 @pytest.mark.parametrize("name", ["scenarios", "scenarios_events", "scenario_nodes", "scenario_edges"])
-def test_one_fold_and_one_merge(spark, name):
-    assert _final(entry.queries()[name](spark, SF)).count("MapInArrow") == 2
+def test_one_fold_and_at_most_one_merge(spark, name):
+    """Merging one by one is left out of the plan where no patterns cross."""
+    assert 1 <= _final(entry.queries()[name](spark, SF)).count("MapInArrow") <= 2
 
 
 def test_sequences_are_not_shuffled_by_user_alone(spark):

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 from test_fold import GOLDENS, plain_fold
 from test_transition import FIVE, THREE, _random_log
 
@@ -208,3 +209,73 @@ def test_graph_tables(entries):
 def test_loop_at_the_start_is_flagged(entries):
     edges = graph.scenario_edges(scenario.scenarios(entries(_steps("a", "ABABC")), share=1.0))
     assert rows(edges.where("weight = 1.0"), "source", "target", "in_reference") == [("1", "0", False)]
+
+
+def _merged_plainly(patterns):
+    """Each pattern, by descending text, joins the first class whose loops it nests with."""
+    kept = []
+    for text, leaves, loops, count, first, last in sorted(patterns, reverse=True):
+        for k in kept:
+            if k[0] == leaves and nests(set(loops) | k[1]):
+                k[1] |= set(loops)
+                k[2:] = [k[2] + count, min(k[3], first), max(k[4], last)]
+                break
+        else:
+            kept.append([leaves, set(loops), count, first, last])
+    return sorted((first, last, count, pattern_text(leaves, sorted(loops))) for leaves, loops, count, first, last in kept)
+
+
+_COUNTED = "pattern string, leaves array<string>, loops array<struct<lo:int,hi:int>>, count bigint, first_req_ms bigint, last_req_ms bigint"
+
+
+def test_crossing_and_nesting_groups(spark):
+    rnd = random.Random(4)
+    found = {}
+    for _ in range(1500):
+        leaves = tuple(rnd.choice(["ABCDE", "ABCDF", "AB", "ABCDEFGH", "C"]))
+        loops = set()
+        for _ in range(rnd.randrange(4)):
+            lo = rnd.randrange(len(leaves))
+            new = loops | {(lo, rnd.randrange(lo, len(leaves)))}
+            # The groups of EFGH nest as a whole, as their loops come from one family.
+            if nests(new) and (len(leaves) != 8 or nests(new | {(0, 3), (4, 7), (1, 2)}) and new <= {(0, 3), (4, 7), (1, 2), (5, 5)}):
+                loops = new
+        text = pattern_text(leaves, sorted(loops))
+        found[text] = (text, list(leaves), sorted(loops), rnd.randrange(1, 9), rnd.randrange(99), rnd.randrange(100, 199))
+    got = scenario.merge_patterns(spark.createDataFrame(list(found.values()), _COUNTED))
+    assert sorted(rows(got, "first_req_ms", "last_req_ms", "count", "pattern")) == _merged_plainly(found.values())
+    for leaves, loops, text in rows(got, "leaves", "loops", "pattern"):
+        assert pattern_text(leaves, [tuple(loop) for loop in loops]) == text
+
+
+def test_a_crowded_group_is_summed_up(spark):
+    """A hundred thousand patterns of the same leaves, which all nest, are never in one task."""
+    n = 100_000
+    bits = [F.when(F.col("id").bitwiseAND(1 << i) != 0, F.struct(F.lit(i).alias("lo"), F.lit(i).alias("hi"))) for i in range(17)]
+    leaves = F.array(*(F.lit(f"L{i}") for i in range(17)))
+    made = spark.range(n).select(
+        F.col("id").cast("string").alias("pattern"), leaves.alias("leaves"), F.array_compact(F.array(*bits)).alias("loops"),
+        F.lit(2).cast("bigint").alias("count"), F.col("id").alias("first_req_ms"), (F.col("id") + 5).alias("last_req_ms"),
+    )
+    got = scenario.merge_patterns(made)
+    want = " -> ".join(f"(L{i})*" for i in range(17))
+    assert rows(got, "first_req_ms", "last_req_ms", "count", "pattern") == [(0, n + 4, 2 * n, want)]
+
+
+def test_a_crowded_crossing_group():
+    """Bits, not pairs of intervals, tell whether patterns nest: tens of thousands in seconds."""
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    family = [[(i, i + 5)] for i in range(30)] + [[(i, i + 2), (i + 10, i + 11)] for i in range(20)]
+    rows_ = []
+    for i in range(30_000):
+        loops = rnd.choice(family)
+        rows_.append({
+            "pattern": f"{i:06d}", "leaves": ["x"] * 40, "loops": [{"lo": lo, "hi": hi} for lo, hi in loops],
+            "count": 1, "first_req_ms": i, "last_req_ms": i,
+        })
+    batches = [pa.RecordBatch.from_pylist(rows_[i : i + 5000]) for i in range(0, len(rows_), 5000)]
+    out = [r for b in scenario._merge_compatible(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["count"] for r in out) == 30_000 and len(out) < 50
+    assert all(nests({(x["lo"], x["hi"]) for x in r["loops"]}) for r in out)
