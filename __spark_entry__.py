@@ -21,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from hitpath.functions.request import endpoint
 from hitpath.functions.scores import log_norm
-from hitpath.operators import graph, params, paramstate, scenario, transition, trend
+from hitpath.operators import graph, heavy, params, paramstate, scenario, transition, trend
 from hitpath.operators.filters import filter_entries
 from hitpath.operators.routeindex import RouteIndex, apply_route_index, route_params, write_route_index
 from hitpath.operators.routes import Routes, apply_routes
@@ -318,6 +318,14 @@ def param_top_values_events(spark, sf):
     )
 
 
+def param_heavy_values(spark, sf):
+    """Top values by summaries of each task and an exact count of their candidates."""
+    top = heavy.param_heavy_values(_events(spark, sf), num=5)
+    return top.select(
+        "endpoint", "type", "parameter", "rank", "value", "count", "cum_count", F.round("cum_rate", 6).alias("cum_rate")
+    )
+
+
 def query_combo_top(spark, sf):
     top = params.query_combo_top(_routed(spark, sf), num=3)
     return top.select(
@@ -603,6 +611,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "param_cardinality_days": param_cardinality_days,
         "param_top_values": param_top_values,
         "param_top_values_events": param_top_values_events,
+        "param_heavy_values": param_heavy_values,
         "query_combo_top": query_combo_top,
         "query_combo_stat": query_combo_stat,
         "endpoint_counts": endpoint_counts,
@@ -1025,6 +1034,9 @@ def oracle_sql() -> dict[str, str]:
         "param_cardinality_days": _with(_EVENT_VALUES + _STAT, "SELECT endpoint, type, parameter, cardinality, count FROM s"),
         "param_top_values": _with(_PAGE_VALUES, _TOP.format(num=3)),
         "param_top_values_events": _with(_EVENT_VALUES, _TOP.format(num=5)),
+        "param_heavy_values": _with(_EVENT_VALUES, _TOP.format(num=5)).replace(
+            ",\n       greatest(cardinality - 5, 0) AS more", ""
+        ),
         "query_combo_top": _with(
             _COMBOS,
             """, best AS (

@@ -91,6 +91,11 @@ def _pieces(
     )
 
 
+def pieces(entries: DataFrame, routes: Routes | Iterable[str] = (), kind: str = "all") -> DataFrame:
+    """One row per value of a parameter of a request."""
+    return _pieces(entries, routes, _check_kind(kind), marker=False)
+
+
 def value_counts(
     entries: DataFrame, routes: Routes | Iterable[str], kind: str, marker: bool, by: Iterable[str] = ()
 ) -> DataFrame:
