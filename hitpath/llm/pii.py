@@ -2,7 +2,9 @@
 
 Patterns propose spans, checks of numbers confirm or drop them, and words near
 a span raise its score. Spans of the four base kinds that pass their check are
-always reported; those of further kinds (bank accounts) need a score.
+always reported; those of further kinds need a score. An account number has it
+by its strong check alone; a routing number, whose check every tenth number of
+nine digits passes, only with a word near it that says what it is.
 """
 
 from __future__ import annotations
@@ -21,34 +23,73 @@ SPAN = "array<struct<start:int,end:int,value:string,score:double>>"
 
 
 class Kind(NamedTuple):
-    """``guard`` is a cheap test that every text with a match passes; ``words`` are those that raise the score."""
+    """``guard`` is a cheap test that every text with a match passes; ``words`` are those that raise the score.
+
+    ``check`` is what passing the check adds to the score of the pattern.
+    """
 
     name: str
     pattern: str
     guard: str
     words: str
+    check: float
     base: bool
 
 
+#: Score of a match, and what a word near it adds.
+PATTERN_SCORE, WORD_SCORE = 0.5, 0.2
+
+# The lengths of international bank account numbers, and the countries that have them.
+ACCOUNT_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _account_pattern() -> str:
+    """Numbers of the length of their country, so that a word behind one is never taken for its end."""
+    kinds = (f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in ACCOUNT_LENGTHS.items())
+    return f"(?<![A-Za-z0-9])(?:{'|'.join(kinds)})(?![A-Za-z0-9])"
+
+
 #: The patterns are the plain ones, made linear: possessive repetition where what follows cannot be part of
 #: it, and matches that begin where a run begins or the match before has ended, as leftmost ones do.
 KINDS = (
     Kind(
         "email",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        "@", "mail|contact|write to|courriel|correo|kontakt", True,
+        "@", "mail|contact|write to|courriel|correo|kontakt", 0.2, True,
     ),
     Kind(
         "ip",
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        r"[0-9]\.[0-9]", r"\bip\b|address|host|server|adresse|direcci", True,
+        r"[0-9]\.[0-9]", r"\bip\b|address|host|server|adresse|direcci", 0.3, True,
     ),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", "[0-9](?:[ -]?[0-9]){15}", "card|visa|credit|carte|karte|tarjeta", True),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax|anruf|llam", True),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", "[0-9](?:[ -]?[0-9]){15}", "card|visa|credit|carte|karte|tarjeta", 0.3, True),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax|anruf|llam", 0.2, True),
     Kind(
-        "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "iban|account|bank|konto|compte|cuenta", False,
+        "iban", _account_pattern(), "[A-Z]{2}[0-9]{2} ?[A-Z0-9]", "iban|account|bank|konto|compte|cuenta", 0.3, False,
+    ),
+    Kind(
+        "routing",
+        "(?<![0-9A-Za-z+.-])[0-9]{9}(?![0-9A-Za-z]|[.-][0-9])",
+        "[0-9]{9}", r"routing|\baba\b|bank|account|transfer|konto|compte|virement|cuenta", 0.1, False,
     ),
 )
 
@@ -79,6 +120,9 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(8, 15)
     if kind == "iban":
         return mod97(value) == 1
+    if kind == "routing":
+        digit = lambda i: F.substring(value, i + 1, 1).cast("int")
+        return (sum((3, 7, 1)[i % 3] * digit(i) for i in range(9)) % 10 == 0) & (value != "0" * 9)
     return F.lit(True)
 
 
@@ -106,8 +150,7 @@ def spans(text: Column, kind: Kind, least: float = LEAST_SCORE, near: int = NEAR
             F.concat_ws(" ", F.substring(text, F.greatest(s["start"] - near, F.lit(0)) + 1, F.least(s["start"], F.lit(near))),
                         F.substring(text, s["end"] + 1, F.lit(near)))
         )
-        checked = 0.3 if kind.name in ("card", "iban", "ip") else 0.2
-        score = F.lit(0.5 + checked) + F.when(around.rlike(kind.words), 0.2).otherwise(0.0)
+        score = F.round(F.lit(PATTERN_SCORE + kind.check) + F.when(around.rlike(kind.words), WORD_SCORE).otherwise(0.0), 2)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
     found = F.transform(_found(text, kind), scored)
@@ -133,13 +176,21 @@ def _listed(kinds: list[Kind]) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and list of the spans of every document; rows are independent of each other."""
+    """Counts, digest and list of the spans of every document, with the scores of the spans in the same order.
+
+    Rows are independent of each other: rows that repeat an id, or have none,
+    are reported one by one, an empty table gives an empty one, and a null or
+    empty text has no spans. Texts are searched whole; the places found in one are gathered in
+    an array that grows span by span. Columns other than id and text are not
+    read.
+    """
     base = [k for k in KINDS if k.base]
     return detect(docs.select("doc_id", "text")).select(
         "doc_id",
         *(F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in base),
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
         _listed(list(KINDS)).alias("spans"),
+        F.array_join(F.concat(*(F.transform(f"pii_{k.name}", lambda s: s["score"].cast("string")) for k in KINDS)), ",").alias("scores"),
     )
 
 

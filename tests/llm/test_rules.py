@@ -1,6 +1,7 @@
 """Mixing, URL filters, personal data: against SQL and plain programs."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -125,3 +126,63 @@ def test_redaction(make_docs):
     assert {r.doc_id: r.text for r in got.collect()} == {
         1: "to \U0001f600 [email], or [phone]!", 2: None, 3: "none", 4: "[card]", 5: "[email]",
     }
+
+
+def test_words_near_a_number_decide(make_docs):
+    """A routing number counts only with a word that says so; an account number scores higher with one."""
+    texts = ["ref 021000021 end", "routing 021000021 end", "routing 021000022 end", "bank " + "x " * 30 + "021000021", "a +021000021 bank",
+             "zzz DE89370400440532013000 zzz", "iban DE89370400440532013000 zzz"]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.report(make_docs(list(enumerate(texts)))).collect()}
+    assert got[0] == got[2] == got[3] == ("", "") and got[1] == ("routing:8:17", "0.8")
+    assert "routing" not in got[4][0]
+    assert got[5] == ("iban:4:26", "0.8") and got[6] == ("iban:5:27", "1.0")
+
+
+def test_account_numbers_have_the_length_of_their_country(make_docs):
+    rows = [(1, "AT611904300234573201 BIC here"), (2, "AT611904300234573201, then"), (3, "AT61 1904 3002 3457 3201 X"), (4, "ATAT611904300234573201"), (5, "NO9386011117947 NO")]
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    assert got == {1: "iban:0:20", 2: "iban:0:20", 3: "iban:0:24", 4: "", 5: "iban:0:15"}
+
+
+def plain_spans(text):
+    """Added spans by plain loops: every place, its check, and words within forty code points."""
+    found = []
+    for i in range(len(text)):
+        if i and text[i - 1].isascii() and text[i - 1].isalnum():
+            continue
+        for n, countries in pii.ACCOUNT_LENGTHS.items():
+            if text[i : i + 2] in countries.split():
+                taken, at = "", i
+                while at < len(text) and len(taken) < n:
+                    if text[at] == " " and taken and text[at - 1] != " ":
+                        at += 1
+                        continue
+                    if not re.match("[A-Z0-9]", text[at]):
+                        break
+                    taken, at = taken + text[at], at + 1
+                ends = at == len(text) or not re.match("[A-Za-z0-9]", text[at])
+                if len(taken) == n and taken[2:4].isdigit() and ends:
+                    turned = "".join(str(int(c, 36)) for c in taken[4:] + taken[:4])
+                    if int(turned) % 97 == 1:
+                        found.append(("iban", i, at))
+    for m in re.finditer(r"(?<![0-9A-Za-z+.-])[0-9]{9}(?![0-9A-Za-z]|[.-][0-9])", text):
+        d = [int(c) for c in m[0]]
+        near = text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40]
+        words = re.search(r"routing|\baba\b|bank|account|transfer|konto|compte|virement|cuenta", near.lower())
+        if (3 * (d[0] + d[3] + d[6]) + 7 * (d[1] + d[4] + d[7]) + d[2] + d[5] + d[8]) % 10 == 0 and any(d) and words:
+            found.append(("routing", *m.span()))
+    return found
+
+
+def test_added_spans_against_plain_loops(make_docs):
+    rng = random.Random(12)
+    bits = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "AT611904300234573201", "021000021", "011401533", "bank", "routing", "ABC", "x", ",", "12", "-", "Konto", "é"]
+    rows = [(i, rng.choice(["", " "]).join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 12)))) for i in range(400)]
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    hits = 0
+    for i, text in rows:
+        added = [x for x in got[i].split(",") if x.startswith(("iban", "routing"))]
+        want = [":".join(map(str, s)) for s in plain_spans(text)]
+        hits += len(want)
+        assert added == want, text
+    assert hits > 100
