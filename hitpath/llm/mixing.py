@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitpath.llm.common import written
+from hitpath.llm.common import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -161,4 +161,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_C
     named = {c.removeprefix("_mix_"): p[c] for c in p.columns}
     joined = docs.join(p, docs["source"].eqNullSafe(named["source"]))
     times = F.array_repeat(F.lit(0), copies(named, random_odds("doc_id", seed)))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias("_mix_copy")).drop("_mix_copy")
+    number = free_name(docs.columns, "_copy")
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias(number)).drop(number)
