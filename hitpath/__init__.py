@@ -11,6 +11,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from hitpath.sources.ltsv import parse_lines, read_ltsv
 from hitpath.sources.store import read_entries, write_entries, write_report
 from hitpath.operators.filters import filter_entries
+from hitpath.operators.routeindex import RouteIndex, apply_route_index, write_route_index
 from hitpath.operators.routes import Routes, apply_routes
 from hitpath.plans.reports import (
     param_detail_report,
@@ -21,7 +22,9 @@ from hitpath.plans.reports import (
 )
 
 __all__ = [
+    "RouteIndex",
     "Routes",
+    "apply_route_index",
     "apply_routes",
     "filter_entries",
     "param_detail_report",
@@ -34,6 +37,7 @@ __all__ = [
     "trend_report",
     "write_entries",
     "write_report",
+    "write_route_index",
 ]
 
 # Functions that run inside tasks are sent to the executors by value, so the

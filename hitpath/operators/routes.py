@@ -9,6 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Routes of a table that may become conditions of a plan.
+MOST_IN_PLAN = 500
+
 # POSIX class names and their Java spelling.
 _POSIX = {
     "alnum": "\\p{Alnum}",
@@ -92,8 +95,15 @@ class Routes:
 
     @classmethod
     def from_table(cls, table: DataFrame, pattern: str = "pattern", order: str = "route_id") -> Routes:
-        """Take the patterns from a configuration table, in ``order``. The list becomes part of the plan."""
-        return cls(row[1] for row in table.select(order, pattern).orderBy(order).toLocalIterator())
+        """Take the patterns from a configuration table, in ``order``.
+
+        The list becomes part of the plan, so it must be short: of more than
+        ``MOST_IN_PLAN`` make an index, see :mod:`hitpath.operators.routeindex`.
+        """
+        found = table.select(order, pattern).orderBy(order).limit(MOST_IN_PLAN + 1).collect()
+        if len(found) > MOST_IN_PLAN:
+            raise ValueError(f"more than {MOST_IN_PLAN} routes would be part of the plan; use write_route_index")
+        return cls(row[1] for row in found)
 
     def __len__(self) -> int:
         return len(self.routes)

@@ -108,3 +108,10 @@ def test_classes_mean_the_same(spark, pattern, path, found):
 
     row = spark.createDataFrame([(path,)], "p string").select(F.col("p").rlike(Routes([pattern]).routes[0].java)).first()
     assert row[0] is found
+
+
+def test_long_tables_are_for_the_index(spark):
+    table = lambda n: spark.createDataFrame([(n - i, f"^/r{n - i}/([0-9]+)") for i in range(n)], "route_id int, pattern string")
+    assert [r.text for r in Routes.from_table(table(12)).routes] == [f"^/r{i}/([0-9]+)" for i in range(1, 13)]
+    with pytest.raises(ValueError, match="write_route_index"):
+        Routes.from_table(table(501))
