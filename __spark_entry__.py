@@ -514,7 +514,7 @@ def _folders(spark):
 
 def _replayed(spark, sf):
     """The log as a stream, part by part, each a micro-batch at least."""
-    yield from replay_entries(_events(spark, sf), f"{_scratch(spark)}/replay")
+    yield from replay_entries(_events(spark, sf), f"{_scratch(spark)}/replay", parts=3)
 
 
 def stream_trend_days(spark, sf):
