@@ -126,6 +126,29 @@ def in_order(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     )
 
 
+#: Entries of 64 row numbers each that may be broadcast, some 50 bytes an entry.
+MOST_MASKS = 1_000_000
+
+
+def picked(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``number`` is among those of ``wanted``, without shuffling rows while that can be helped.
+
+    Numbers that follow one another, 64 at a time, are the bits of one long, so
+    that a hundred million rows fit into a table that may be broadcast. Its
+    size is counted; beyond ``MOST_MASKS`` entries the rows are joined by number.
+    """
+    key, mask = free_name(rows.columns, "_at"), free_name(rows.columns, "_mask")
+    low = F.expr(f"cast(`{number}` & 63 as int)")
+    masks = written(
+        wanted.groupBy(F.shiftright(number, 6).alias(key)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low)).alias(mask)),
+        "masks",
+    )
+    if masks.count() > MOST_MASKS:
+        return rows.join(wanted.select(number), number, "left_semi")
+    bit = F.call_function("shiftrightunsigned", F.col(mask), low).bitwiseAND(F.lit(1).cast("long"))
+    return rows.withColumn(key, F.shiftright(number, 6)).join(F.broadcast(masks), key).where(bit == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``, as ``(node, component)`` with the smallest node as name.
 

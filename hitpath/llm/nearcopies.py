@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from hitpath.llm.common import components, free_name, partitions, written
+from hitpath.llm.common import components, free_name, partitions, picked, written
 from hitpath.llm.simhash import links, majority, shingle_hashes
 
 BANDS, WIDTH = 32, 8
@@ -75,7 +75,9 @@ def _prepared(docs: DataFrame, words: int) -> tuple[DataFrame, list[str]]:
 
 def _candidates(points: DataFrame, radius: int) -> DataFrame:
     """Links ``(a, b)`` between sets ``(set, fp, keys)`` that connect all that share a key or have close fingerprints."""
-    keys = points.select("set", F.explode("keys").alias("key")).distinct()
+    # Equal sets have equal keys, so one row of each is enough; it is written, as two uses would each make it anew.
+    one = written(points.groupBy("set").agg(F.first("keys").alias("keys")), "near-copies-keys")
+    keys = one.select("set", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("set").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     by_fp = points.groupBy("fp").agg(F.min("set").alias("rep"))
     return (
@@ -178,7 +180,8 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6, similarity: f
     points = every.where("size > 0")
     near = components(_candidates(points, radius))
     texts = rows.select(F.col(number).alias("row"), "text")
-    found = components(_confirmed(_dealt(near, points), texts, words, similarity))
+    dealt = written(_dealt(near, points), "near-copies-dealt")
+    found = components(_confirmed(dealt, picked(texts, "row", dealt.select("row")), words, similarity))
     order = rows.select(
         F.col(set_).alias("node"), F.col("doc_id").isNull().alias("nameless"), "doc_id",
         F.xxhash64("text").alias("text"), F.xxhash64(*docs.columns).alias("all"), F.col(number).alias("row"),
@@ -189,4 +192,4 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 6, similarity: f
         .agg(F.min(F.struct("nameless", "doc_id", "text", "all", "row")).alias("least"))
         .select(F.col("least.row").alias(number))
     )
-    return rows.join(kept, number, "left_semi").select(*docs.columns)
+    return picked(rows, number, kept).select(*docs.columns)

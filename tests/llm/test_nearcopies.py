@@ -5,7 +5,7 @@ import pytest
 from test_models import groups
 
 import corpus_pipeline
-from hitpath.llm import nearcopies, simhash
+from hitpath.llm import common, nearcopies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +86,16 @@ def test_each_group_keeps_one_row(spark, make_docs):
         for stage in (lambda docs: corpus_pipeline.near_duplicates(spark, docs, SF), simhash.deduplicated):
             got = stage(make_docs(rows)).collect()
             assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, unique), (3, copied), (None, c)], key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_by_number(spark, monkeypatch, most):
+    """By masks of 64 numbers, and by a join where those are too many."""
+    monkeypatch.setattr(common, "MOST_MASKS", most)
+    rng = np.random.default_rng(3)
+    numbers = np.unique(np.concatenate([rng.integers(0, 500, 200), (7 << 36) + rng.integers(0, 500, 200), np.arange(63, 66)])).tolist()
+    wanted = [x for x in numbers if rng.random() < 0.5]
+    rows = spark.createDataFrame([(x, f"t{x}", 1, 2) for x in numbers], "_row long, text string, _at int, _mask int")
+    got = common.picked(rows, "_row", spark.createDataFrame([(x,) for x in wanted], "_row long"))
+    assert got.columns == rows.columns
+    assert sorted(map(tuple, got.collect())) == [(x, f"t{x}", 1, 2) for x in wanted]
