@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words. Every document of it is taken as
-often as whole copies fit into the target, and the rest is a sample in which a
-document has the inclusion probability that is left over: documents are ranked
-by their random odds divided by their inclusion odds, and the first ones are
-taken until the source has its size. The unit of that size is the word.
+Each source gets a target number of words, and each of its documents a number
+of copies to be expected: documents of at least ``LONG_WORDS`` words twice as
+many as shorter ones, which are more often fragments, up to the most copies.
+Whole copies are certain. What is left over is the document's inclusion
+probability in a sample: documents are ranked by their random odds divided by
+their inclusion odds, and the first ones are taken until the source has its
+size. The unit of that size is the word.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from hitpath.llm.common import free_name, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
+LONG_WORDS, LONG_WEIGHT = 100, 2
 BUCKETS = 4096
+_SLACK = 1e-9
 
 
 def word_count(text: str = "text") -> Column:
@@ -62,8 +66,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOS
     )
 
 
+def _is_long() -> Column:
+    return F.col("size") >= LONG_WORDS
+
+
+def _expected(sources: DataFrame, cap: int) -> DataFrame:
+    """Whole copies and the probability of one more, for the long and the short documents of each source.
+
+    Long documents count ``LONG_WEIGHT`` times until they have the most
+    copies; short ones share the words that are left.
+    """
+    short = F.col("source_size") - F.col("long_size")
+    weighted = LONG_WEIGHT * F.col("long_size") + short
+    long_ = F.when(
+        F.col("source_size") > 0, F.least(F.lit(float(cap)), LONG_WEIGHT * (F.col("target") / weighted))
+    ).otherwise(F.lit(0.0))
+    sources = sources.withColumn("long", long_)
+    rest = F.when(
+        short > 0, F.least(F.lit(float(cap)), (F.col("target") - F.col("long") * F.col("long_size")) / short)
+    ).otherwise(F.lit(0.0))
+    sources = sources.withColumn("short", rest)
+    for name in ("long", "short"):
+        sources = sources.withColumn(f"whole_{name}", F.floor(F.col(name) + _SLACK).cast("int"))
+        over = F.col(name) - F.col(f"whole_{name}")
+        sources = sources.withColumn(f"left_{name}", F.when(over > _SLACK, over).otherwise(F.lit(0.0)))
+    sure = F.col("whole_long") * F.col("long_size") + F.col("whole_short") * short
+    return sources.withColumn("wanted", F.col("target") - sure).drop("long", "short")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES, seed: int = 0) -> DataFrame:
-    """One row per source: target, whole copies, odds of one more, and where the ranking is cut.
+    """One row per source: target, whole copies, probabilities of one more, and where the ranking is cut.
 
     The cut of a source is found without bringing its documents together:
     words are summed by source and bucket of the rank, running sums find the
@@ -74,19 +106,22 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_CO
     rows = written(
         docs.select("source", word_count().alias("size"), random_odds("doc_id", seed).alias("odds")), "mixing"
     )
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(ratio + 1e-12).cast("int")
-    left = F.greatest(ratio - F.col("whole"), F.lit(0.0))
+    sizes = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum(F.when(_is_long(), F.col("size")).otherwise(F.lit(0))).alias("long_size")
+    )
+    aimed = targets(sizes.select("source", "source_size"), weights, cap).withColumnRenamed("source", "s")
     sources = written(
-        sources.withColumn("whole", whole).withColumn("left", F.when(left > 1e-12, left).otherwise(F.lit(0.0))),
+        _expected(
+            aimed.join(sizes.select("source", "long_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), cap
+        ),
         "mixing-sources",
     )
-    open_ = sources.where("left > 0").select(
-        F.col("source").alias("s"), "left", (F.col("target") - F.col("whole") * F.col("source_size")).alias("wanted")
+    open_ = sources.where("left_long > 0 OR left_short > 0").select(
+        F.col("source").alias("s"), "left_long", "left_short", "wanted"
     )
-    ranked = rows.join(open_, F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", "size", "wanted", rank(F.col("odds"), F.col("left")).alias("rank")
+    left = F.when(_is_long(), F.col("left_long")).otherwise(F.col("left_short"))
+    ranked = rows.join(open_, F.col("source").eqNullSafe(F.col("s"))).where(left > 0).select(
+        "source", "size", "wanted", rank(F.col("odds"), left).alias("rank")
     ).withColumn("bucket", bucket(F.col("rank")))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     full = (
@@ -127,13 +162,16 @@ def bucket(value: Column) -> Column:
     return F.floor(value / (1 + value) * BUCKETS).cast("int")
 
 
-def copies(planned: DataFrame, odds: Column) -> Column:
+def copies(planned: DataFrame, odds: Column, size: Column) -> Column:
     """How often a document joined with its source's plan is taken."""
-    value = rank(odds, planned["left"])
+    whole, left = (
+        F.when(size >= LONG_WORDS, planned[f"{name}_long"]).otherwise(planned[f"{name}_short"]) for name in ("whole", "left")
+    )
+    value = rank(odds, left)
     first = (bucket(value) < planned["cut_bucket"]) | (
         (bucket(value) == planned["cut_bucket"]) & (value <= planned["cut_rank"])
     )
-    return planned["whole"] + F.when((planned["left"] > 0) & F.coalesce(first, F.lit(False)), 1).otherwise(0)
+    return whole + F.when((left > 0) & F.coalesce(first, F.lit(False)), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES, seed: int = 0) -> DataFrame:
@@ -149,17 +187,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COP
         "doc_id", F.col("source").alias("_source"), word_count().alias("size"), random_odds("doc_id", seed).alias("odds")
     )
     joined = rows.join(p, F.col("_source").eqNullSafe(p["source"]))
-    return joined.withColumn("copies", copies(p, F.col("odds"))).select(
+    return joined.withColumn("copies", copies(p, F.col("odds"), F.col("size"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_COPIES, seed: int = 0) -> DataFrame:
-    """The rows of the mix themselves, each as often as it is taken, with the columns of ``docs``."""
+    """The rows of the mix themselves, each as often as it is taken, with the columns of ``docs``.
+
+    Nulls, repeated ids and names are treated as by :func:`mix`; an empty table
+    gives an empty mix, and all columns of the rows stay, whatever they are called.
+    """
     p = plan(docs, weights, cap, seed)
     p = p.select(*(F.col(c).alias(f"_mix_{c}") for c in p.columns))
     named = {c.removeprefix("_mix_"): p[c] for c in p.columns}
     joined = docs.join(p, docs["source"].eqNullSafe(named["source"]))
-    times = F.array_repeat(F.lit(0), copies(named, random_odds("doc_id", seed)))
+    times = F.array_repeat(F.lit(0), copies(named, random_odds("doc_id", seed), word_count()))
     number = free_name(docs.columns, "_copy")
     return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias(number)).drop(number)

@@ -79,26 +79,33 @@ WITH d AS (
          (CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
            / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CASE WHEN size >= 100 THEN size ELSE 0 END) AS BIGINT) AS long_size
+  FROM d GROUP BY source),
 n AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS most FROM s),
 t AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER r, 0))::DOUBLE
             / (sum(w) OVER () - coalesce(sum(w) OVER r, 0))::DOUBLE AS share
   FROM n WINDOW r AS (ORDER BY most::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 k AS (
-  SELECT source, source_size,
+  SELECT source, source_size, long_size,
          CASE WHEN most < w * share THEN most::DOUBLE ELSE w * (
            SELECT arg_min(share, most::DOUBLE / w) FROM t WHERE most >= w * share) END AS target
   FROM t),
 p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio, floor(ratio + 1e-12) AS whole,
-         CASE WHEN ratio - whole > 1e-12 THEN ratio - whole ELSE 0 END AS rest, target - whole * source_size AS wanted
+  SELECT *, source_size - long_size AS short_size,
+         CASE WHEN source_size > 0 THEN least(3::DOUBLE, 2 * (target / (2 * long_size + (source_size - long_size)))) ELSE 0 END AS e_long,
+         CASE WHEN short_size > 0 THEN least(3::DOUBLE, (target - e_long * long_size) / short_size) ELSE 0 END AS e_short,
+         target - (floor(e_long + 1e-9) * long_size + floor(e_short + 1e-9) * short_size) AS wanted
   FROM k),
 x AS (
-  SELECT doc_id, size, p.*, CASE WHEN rest > 0 THEN (u / (1 - u)) / (rest / (1 - rest)) END AS rank
+  SELECT doc_id, size, p.*, CASE WHEN size >= 100 THEN e_long ELSE e_short END AS e, floor(e + 1e-9) AS whole,
+         CASE WHEN e - whole > 1e-9 THEN e - whole ELSE 0 END AS rest,
+         CASE WHEN rest > 0 THEN (u / (1 - u)) / (rest / (1 - rest)) END AS rank
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 y AS (
-  SELECT *, abs(sum(size) OVER (PARTITION BY source ORDER BY rank RANGE UNBOUNDED PRECEDING) - wanted) AS off FROM x),
+  SELECT *, CASE WHEN rank IS NOT NULL THEN abs(sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (
+           PARTITION BY source ORDER BY rank NULLS LAST RANGE UNBOUNDED PRECEDING) - wanted) END AS off FROM x),
 z AS (SELECT *, min(off) OVER (PARTITION BY source) AS best FROM y),
 c AS (
   SELECT *, CASE WHEN best < wanted THEN min(CASE WHEN off = best THEN rank END) OVER (PARTITION BY source)

@@ -37,6 +37,41 @@ def test_mixing_meets_targets_and_keeps_rows(spark, make_docs):
     assert taken == {r.doc_id: r.copies for r in got if r.copies}
 
 
+def test_documents_of_a_source_differ_in_their_odds(make_docs):
+    """A long document is taken about twice as often as a short one; targets are met all the same."""
+    rows = [(i, "w " * (120 if i % 2 else 30), "en", "abcd"[i % 8 // 2]) for i in range(6000)]
+    got = mixing.mix(make_docs(rows)).collect()
+    by = {}
+    for r, (i, _, _, source) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+        assert r.copies <= 3 and r.taken == r.copies * r.size
+        by.setdefault(source, {}).setdefault(r.size, []).append(r.copies)
+        by[source].setdefault("target", r.target)
+    odds = 0
+    for sizes in by.values():
+        assert abs(sum(sum(c) * n for n, c in sizes.items() if n != "target") - sizes["target"]) <= 60
+        long_, short = (sum(sizes[n]) / len(sizes[n]) for n in (120, 30))
+        assert long_ > short
+        if long_ < 2.9:
+            odds += 1
+            assert 1.8 < long_ / short < 2.2
+            # Both kinds are drawn: neither all nor none get a copy more.
+            assert all(len(set(sizes[n])) == 2 for n in (120, 30))
+    assert odds >= 2
+
+
+def test_mixing_keeps_columns_of_its_own_names(make_docs):
+    docs = make_docs([(i, "w " * (i % 200), "en", "ab"[i % 2]) for i in range(300)])
+    named = docs.selectExpr("*", "doc_id AS _copy", "doc_id AS size", "doc_id AS target", "doc_id AS _mix_source", "1 AS left_long")
+    got = mixing.mixed(named)
+    assert got.columns == named.columns and all(r._copy == r.size == r.target == r.doc_id for r in got.collect())
+    want = {r.doc_id: r.copies for r in mixing.mix(named).collect() if r.copies}
+    taken = {}
+    for r in got.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+    assert taken == want
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_mixing_of_nothing(empty, odd):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(odd).count() == odd.count()
