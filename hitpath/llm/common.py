@@ -134,7 +134,7 @@ def picked(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
     """The ``rows`` whose ``number`` is among those of ``wanted``, without shuffling rows while that can be helped.
 
     Numbers that follow one another, 64 at a time, are the bits of one long, so
-    that a hundred million rows fit into a table that may be broadcast. Its
+    that tens of millions of rows fit into a table that may be broadcast. Its
     size is counted; beyond ``MOST_MASKS`` entries the rows are joined by number.
     """
     key, mask = free_name(rows.columns, "_at"), free_name(rows.columns, "_mask")

@@ -251,7 +251,12 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
     """Predict the language of every row from its text, learning from the rows outside the held-out part.
 
     A null id counts as the empty text when parts are drawn; rows that repeat
-    an id fall into the same part.
+    an id fall into the same part, and each is predicted by itself. A null or
+    empty text, and one without a letter, is ``und`` with score 0, as is every
+    text if nothing could be learned. Of languages with the same probability the
+    first by code point is predicted. Texts are read whole. An empty table
+    gives an empty one; columns other than id, text and language are not read,
+    whatever they are called.
     """
     model = fit(docs.where(training(F.col("doc_id"), modulus, held_out)))
 
@@ -270,7 +275,11 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language that is as likely as ``least``, columns unchanged."""
+    """The rows of ``docs`` whose text has a language that is as likely as ``least``, columns unchanged.
+
+    A null or empty text, and one without a letter, has none and goes. Rows
+    that repeat stay or go alike; columns may have any names.
+    """
     model = fit(docs)
     field = docs.columns.index("text")
 

@@ -224,7 +224,13 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document the number of ids and the hashes of ids and of decoded text."""
+    """Per document the number of ids and the hashes of ids and of decoded text.
+
+    A null or empty text has the begin and the end id only. Rows are
+    independent of each other, so repeated and null ids stay as they are; texts
+    are encoded whole, however long. An empty table gives an empty one; columns
+    other than id and text are not read, whatever they are called.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)

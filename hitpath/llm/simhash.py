@@ -200,7 +200,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     Equal fingerprints are one point, however many documents have them. Rows
     that repeat an id are each fingerprinted and belong together only if their
     fingerprints do. A null id takes no part in naming components: a component
-    of null ids only has none. A null text is one without words.
+    of null ids only has none. A null text is one without words. Texts are read
+    whole, however long; an empty table gives an empty one; columns other than
+    id and text are not read, whatever they are called.
     """
     rows = written(with_fingerprints(docs, words), "simhash")
     points = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))

@@ -93,7 +93,7 @@ def verdict(host: str, path: str, filed: dict[str, list[tuple]], default: str =
     fits = [(r.name is not None, len(r.name or ""), r) for t in tokens for r, p in filed.get(t, ()) if p.search(subject)]
     if not fits:
         return None, default
-    best = max(fits, key=lambda f: f[:2])[2]
+    best = max(fits, key=lambda f: (*f[:2], f[2].name or "", f[2].action))[2]
     return best.name, best.action
 
 
@@ -103,8 +103,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + JUNK, default: str
     The host follows the first ``://``, up to ``/``, ``?`` or ``#``, A-Z in
     lower case; the path goes from there up to ``?`` or ``#``. A null URL and
     one without ``://`` have neither, no rule fits them, and they are allowed. Each row is judged by
-    itself, so repeated ids and rows stay as they are. The rules are an
-    argument and travel with the tasks.
+    itself, so repeated ids and rows, and those with null ids, stay as they are;
+    an empty table gives an empty one, and columns other than id and URL are
+    not read. Of named rules of the same length the last by name wins, of equal
+    ones and of patterns blocking does. The rules are an argument and travel
+    with the tasks.
     """
     parts = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     filed = index(rules, token_counts(parts, rules))

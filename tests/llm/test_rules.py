@@ -221,3 +221,13 @@ def test_added_spans_against_plain_loops(make_docs):
         hits += len(want)
         assert added == want, text
     assert hits > 100
+
+
+def test_rules_that_tie():
+    """Of fitting rules of the same length the last by name, of patterns the blocking one, in whatever order they come."""
+    rules = [urls.site_rule("allow", "a.com", "/xy"), urls.site_rule("block", "com", "/xy/z"), urls.Rule("allow", None, "xy", ("xy",)), urls.Rule("block", None, "x", ())]
+    for some in (rules, rules[::-1]):
+        filed = {t: [(r, re.compile(r.pattern)) for r in rs] for t, rs in urls.index(some, {}).items()}
+        assert urls.verdict("a.com", "/xy/z", filed) == ("com/xy/z", "block")
+        filed = {t: [(r, re.compile(r.pattern)) for r in rs] for t, rs in urls.index(some[2:] if some is rules else some[:2], {}).items()}
+        assert urls.verdict("a.com", "/xy", filed) == (None, "block")
