@@ -155,7 +155,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_CO
 
 
 def rank(odds: Column, left: Column) -> Column:
-    return odds / (left / (1 - left))
+    """Random odds by inclusion odds; null where nothing is left to be drawn."""
+    return F.try_divide(odds, left / (1 - left))
 
 
 def bucket(value: Column) -> Column:

@@ -1,9 +1,18 @@
-"""The pipeline: stages keep the columns of documents, and the last row set follows from the operators' decisions."""
+"""The pipeline: every stage's rows against a plain version of its decisions, and odd tables from end to end."""
 
+import re
+from collections import Counter
+
+import duckdb
+import pytest
 import sentencepiece
 from public_tokenizers import path
+from pyspark.sql import functions as F
+from test_nearcopies import brute
+from test_rules import plain_spans
 
 import corpus_pipeline
+from hitpath.llm import langid, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +27,124 @@ def test_pipeline(spark, documents):
     want = [(r.doc_id, r.source, sp.encode(r.text, add_bos=True, add_eos=True)) for r in docs.collect()]
     got = [(r.doc_id, r.source, r.ids) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(want) and want
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """The table with copies, near copies, junk, personal data, nulls, repeated rows and columns of odd names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = [tuple(r) for r in docs.orderBy("doc_id").limit(60).collect()]
+    extra = []
+    for i, (_, text, lang, source, _) in enumerate(base[:12]):
+        words = text.split(" ")
+        words[len(words) // 2] = f"changed{i}"
+        extra.append((9000 + i, " ".join(words), lang, source, len(text)))
+    extra += [(9100, None, "en", "s", 0), (9101, "", None, None, 0), (9102, "12 34 !!", "en", "s", 8), (None, base[3][1] + " more", "en", None, 9)]
+    extra += [base[5], base[5], (9103, base[7][1] + " mail me@example.org or +1 234 567 8901, card 4111 1111 1111 1111", base[7][2], "s", 1)]
+    table = spark.createDataFrame(base + extra, docs.schema)
+    return table.withColumns({name: F.lit(i) for i, name in enumerate(("size", "target", "_row", "pii_email", "_copy"))})
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def test_language_rejects_what_has_no_likely_language(spark, planted):
+    got = stage("language")(spark, planted, SF)
+    assert got.columns == planted.columns
+    model = langid.fit(planted)
+    texts = [r.text or "" for r in planted.collect()]
+    want = Counter()
+    for r, name, score in zip(planted.collect(), *langid.predict(model, texts)):
+        if any(c.isalpha() for c in r.text or "") and name != "und" and score >= 0.5:
+            want[r.doc_id, r.text] += 1
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    gone = {r.doc_id for r in planted.collect()} - {r.doc_id for r in got.collect()}
+    assert {9100, 9101, 9102} <= gone and len(gone) < 8
+
+
+def test_one_of_each_group_of_near_copies(spark, planted):
+    got = stage("near_duplicates")(spark, planted, SF)
+    assert got.columns == planted.columns
+    want = brute([(r.doc_id, r.text) for r in planted.collect()])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == want
+    # One changed word leaves a text of sixty words or more above the similarity, a short one below.
+    near = {r.doc_id: len(r.text.split()) for r in planted.where("doc_id BETWEEN 9000 AND 9011").collect()}
+    left = {r.doc_id for r in got.collect()}
+    assert not {i for i, n in near.items() if n >= 60} & left and max(near.values()) >= 60
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def plain_redaction(text):
+    spans = [(start, -end, f"[{kind}]") for kind, start, end in plain_spans(text)]
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {
+                "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if fits:
+                spans.append((m.start(), -m.end(), f"[{kind}]"))
+    out, at = "", 0
+    for start, back, tag in sorted(spans):
+        if start >= at:
+            out += text[at:start] + tag
+        at = max(at, -back)
+    return out + text[at:]
+
+
+def test_personal_data_goes(spark, planted):
+    got = stage("personal_data")(spark, planted, SF)
+    assert got.columns == planted.columns
+    want = [(r.doc_id, None if r.text is None else plain_redaction(r.text)) for r in planted.collect()]
+    assert rows_of(got, "doc_id", "text") == sorted(want, key=str)
+    assert sum(a != (r.doc_id, r.text) for a, r in zip(want, planted.collect())) >= 1
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+
+
+def test_mixture_is_what_sql_says(spark, planted, tmp_path):
+    got = stage("mixture")(spark, planted, SF)
+    assert got.columns == planted.columns
+    planted.select("doc_id", "text", "source").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    columns = [c[0] for c in con.execute(queries.oracle_sql()["op4_mixing"]).description]
+    want = Counter()
+    for row in con.fetchall():
+        r = dict(zip(columns, row))
+        if r["size"]:
+            want[r["doc_id"], r["size"]] += r["taken"] // r["size"]
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    found = Counter((r.doc_id, size(r.text)) for r in got.collect() if size(r.text))
+    assert found == +want
+
+
+@pytest.mark.parametrize("table", ["planted", "nothing"])
+def test_from_end_to_end(spark, planted, table, tmp_path):
+    docs = planted if table == "planted" else planted.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "source", "ids", "decoded"]
+    rows = got.collect()
+    assert bool(rows) == (table == "planted")
+    ids = {r.doc_id for r in rows}
+    assert not ids & {9100, 9101, 9102} and all("me@example.org" not in r.decoded for r in rows)
