@@ -26,6 +26,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
+#: Ranges of hashed ids that are counted apart, as a power of two.
+PARTS_BITS = 10
 
 _letters: list[np.ndarray] = []
 
@@ -171,6 +173,26 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _smallest(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows ``(doc_id, lang, h)`` of each language with the smallest ``h``, then id.
+
+    Counts by language and range of ``h`` tell how far one has to look, so
+    that few more rows than are wanted meet in the window of a language. There
+    is one such bound per language, as there is one class in the model.
+    """
+    part = F.shiftright("h", 64 - PARTS_BITS)
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = (
+        rows.groupBy(F.col("lang").alias("lang"), part.alias("part")).agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where(F.col("before") < most)
+        .groupBy(F.col("lang").alias("_lang")).agg(F.max("part").alias("_last"))
+    )
+    near = rows.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).where(part <= F.col("_last"))
+    draw = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return near.withColumn("r", F.row_number().over(draw)).where(F.col("r") <= most).select(*rows.columns)
+
+
 def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model:
     """A model from the rows with a text, and a language, that ``docs`` has.
 
@@ -181,14 +203,9 @@ def fit(docs: DataFrame, most: int = MOST_PER_LANGUAGE) -> Model:
     total, frequency = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + frequency)) + 1
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    draw = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picks = (
-        rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("r", F.row_number().over(draw))
-        .where(F.col("r") <= most)
-        .select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
-        .distinct()
-    )
+    picks = _smallest(rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), most).select(
+        F.col("doc_id").alias("_d"), F.col("lang").alias("_l")
+    ).distinct()
     # At most ``most`` rows per language.
     chosen = rows.join(
         F.broadcast(picks), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l")), "left_semi"

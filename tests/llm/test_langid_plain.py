@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from hitpath.llm import langid
 
@@ -37,6 +38,18 @@ def test_features():
         assert letters[i] == sum(c.isalpha() for c in text)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 10])
+@pytest.mark.parametrize("most", [1, 20, 400])
+def test_smallest_of_each_language(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(langid, "PARTS_BITS", bits)
+    rng = random.Random(1)
+    rows = [(i % 700, rng.choice("aaaaaaab") if i % 50 else "c", rng.randrange(-(2**63), 2**63)) for i in range(1500)]
+    rows += [(5, "a", -(2**63)), (4, "a", 2**63 - 1), (9, "d", 7)]
+    got = langid._smallest(spark.createDataFrame(rows, "doc_id long, lang string, h long").repartition(4), most)
+    want = [r for lang in "abcd" for r in sorted((r for r in rows if r[1] == lang), key=lambda r: (r[2], r[0]))[:most]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def plain_training(samples, classes):
     """Follow the regularised leader with elastic net, one number at a time; feature -1 is the bias."""
     z, n = {}, {}
