@@ -202,7 +202,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MOST_C
     p = plan(docs, weights, cap, seed)
     p = p.select(*(F.col(c).alias(f"_mix_{c}") for c in p.columns))
     named = {c.removeprefix("_mix_"): p[c] for c in p.columns}
-    joined = docs.join(p, docs["source"].eqNullSafe(named["source"]))
-    times = F.array_repeat(F.lit(0), copies(named, random_odds("doc_id", seed), word_count()))
-    number = free_name(docs.columns, "_copy")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(times).alias(number)).drop(number)
+    # Counted below the join, so once a text.
+    size, number = (free_name(docs.columns, name) for name in ("_words", "_copy"))
+    sized = docs.withColumn(size, word_count())
+    joined = sized.join(p, sized["source"].eqNullSafe(named["source"]))
+    times = F.array_repeat(F.lit(0), copies(named, random_odds("doc_id", seed), sized[size]))
+    return joined.select(*(sized[c] for c in docs.columns), F.explode(times).alias(number)).drop(number)
