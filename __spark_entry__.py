@@ -320,6 +320,7 @@ def param_top_values_events(spark, sf):
 
 def param_heavy_values(spark, sf):
     """Top values by summaries of each task and an exact count of their candidates."""
+    _scratch(spark)
     top = heavy.param_heavy_values(_events(spark, sf), num=5)
     return top.select(
         "endpoint", "type", "parameter", "rank", "value", "count", "cum_count", F.round("cum_rate", 6).alias("cum_rate")
