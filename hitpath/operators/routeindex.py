@@ -4,13 +4,16 @@ A short list is a chain of conditions (:mod:`hitpath.operators.routes`). A list
 of thousands would test every pattern on every path, in a plan as long as the
 list. Here each route is filed under one literal path segment that every path
 it matches must have: the rarest one of the list. A path looks its own segments
-up, one join for each place in the path, and only the routes it finds are
-tested. Several may match; the first of the list wins.
-
-The index is a stored table, so its size is known when a query is planned:
-below ``spark.sql.autoBroadcastJoinThreshold`` the joins are broadcasts and a
-log is neither shuffled nor sorted, above it they are shuffled by segment.
-Neither routes nor index pass through the driver.
+up, and only the routes it finds are tested. Several may match; the first of
+the list wins.
+
+The index is a stored table, whose size is counted when it is opened. Of up to
+``MOST_BY_PLACE`` routes each row of a log looks up one place after the other;
+below ``spark.sql.autoBroadcastJoinThreshold`` these joins are broadcasts, and
+the log is neither shuffled nor sorted. Of more, the different paths of the log
+look all their segments up in one join, and the rows then join their path's
+route, so the log is shuffled as often whatever the number of places. Neither
+routes nor index pass through the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from hitpath.operators.routes import Route
 PLACES = 8
 #: Filed under every place, because the route may begin anywhere in a path.
 ANYWHERE = -1
+#: Routes of an index that each row looks up place by place; longer ones are looked up by different paths.
+MOST_BY_PLACE = 20_000
 #: Looked up by all paths, and by all paths of more than PLACES segments.
 ALWAYS, DEEP = 0, PLACES + 1
 
@@ -178,27 +183,31 @@ def write_route_index(table: DataFrame, path: str, pattern: str = "pattern", ord
 
     Each route is filed under the rarest of its segments, or under none if it
     requires none; all paths test those. A null pattern is no route. Routes of
-    equal order are taken by their pattern.
+    equal order are taken by their pattern. Routes that may begin anywhere are
+    stored once, and for a short list under every place as well.
     """
     rows = table.where(F.col(pattern).isNotNull()).select(F.col(order).cast("int").alias("route_id"), F.col(pattern).alias("pattern"))
-    read = rows.mapInArrow(_read_routes, _ROUTE)
+    # Patterns are read in as many tasks as their number needs, whatever files they lie in; Spark cannot know how
+    # many rows come of it, so it is told not to broadcast them.
+    read = rows.repartition("route_id", "pattern").mapInArrow(_read_routes, _ROUTE)
     often = read.groupBy("place", "segment").agg(F.count("*").alias("routes"))
     rarest = F.min_by(F.struct("place", "segment"), F.struct("routes", "place", "segment"))
     filed = (
-        read.join(often, ["place", "segment"])
+        read.join(often.hint("merge"), ["place", "segment"])
         .groupBy("route_id", F.col("entry.pattern").alias("pattern"))
         .agg(F.first("entry").alias("entry"), rarest.alias("key"))
         .select("entry", "key.place", "key.segment")
     )
     everywhere = F.col("place") == ANYWHERE
-    places = F.when(everywhere, F.sequence(F.lit(1), F.lit(DEEP))).otherwise(F.array("place"))
+    short = rows.limit(MOST_BY_PLACE + 1).count() <= MOST_BY_PLACE
+    places = F.when(everywhere & F.lit(short), F.sequence(F.lit(1), F.lit(DEEP))).otherwise(F.array("place"))
     spread = filed.select("entry", F.explode(places).alias("place"), "segment")
     (
         # A deep path's further segments are not looked up: it tests all routes that may begin there.
         spread.withColumn("segment", F.when(F.col("place") == DEEP, F.lit("")).otherwise(F.col("segment")))
         .groupBy("place", "segment")
         .agg(F.array_sort(F.collect_list("entry")).alias("routes"))
-        .repartition("place")
+        .repartition("place", *([] if short else ["segment"]))
         .write.mode(mode)
         .partitionBy("place")
         .parquet(path)
@@ -206,11 +215,14 @@ def write_route_index(table: DataFrame, path: str, pattern: str = "pattern", ord
 
 
 class RouteIndex:
-    """A stored index; only the list of places in use, at most ``PLACES`` + 2 numbers, is read when it is opened."""
+    """A stored index; only the places in use, at most ``PLACES`` + 3 numbers, and how many routes each has are read when it is opened."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.table = spark.read.schema(f"segment string, routes array<{_ENTRY}>, place int").parquet(path)
-        self.places = sorted(r[0] for r in self.table.select("place").distinct().collect())
+        found = dict(map(tuple, self.table.groupBy("place").agg(F.sum(F.size("routes"))).collect()))
+        self.places = sorted(found)
+        #: Whether rows look up place by place, as they can where routes of any place are filed under each of them.
+        self.by_place = ANYWHERE not in found and (DEEP in found or max(found.values(), default=0) <= MOST_BY_PLACE)
 
     def _lookup(self, place: int, parts: Column, path: Column) -> Column:
         """The segment of a path that a place is looked up by; null if there is none."""
@@ -220,20 +232,50 @@ class RouteIndex:
             return F.when(F.size(parts) > DEEP, F.left(path, F.lit(0)))
         return F.get(parts, place)
 
+    def _filed(self, place: int) -> DataFrame:
+        """What a place is to be looked up in."""
+        here = self.table.where(F.col("place") == place).select("segment", "routes")
+        if place == ALWAYS or ANYWHERE not in self.places:
+            return here
+        segment = F.lit("") if place == DEEP else F.col("segment")
+        anywhere = self.table.where(F.col("place") == ANYWHERE).select(segment.alias("segment"), "routes")
+        return here.unionByName(anywhere).groupBy("segment").agg(F.flatten(F.collect_list("routes")).alias("routes"))
+
     def match(self, entries: DataFrame, path: str = "path") -> DataFrame:
         """``entries`` with ``route``, the first matching route as a struct, or NULL."""
+        return self._by_place(entries, path) if self.by_place or entries.isStreaming else self._by_path(entries, path)
+
+    def _by_place(self, entries: DataFrame, path: str) -> DataFrame:
         parts = F.split(F.col(path), "/")
         rows, lists = entries.withColumn("_parts", parts), []
-        for place in self.places:
+        places = self.places if ANYWHERE not in self.places else sorted({*self.places, *range(1, DEEP + 1)} - {ANYWHERE})
+        for place in places:
             key, found = f"_key{place}", f"_found{place}"
-            side = self.table.where(F.col("place") == place).select(F.col("segment").alias(key), F.col("routes").alias(found))
+            side = self._filed(place).select(F.col("segment").alias(key), F.col("routes").alias(found))
             rows = rows.join(side, self._lookup(place, F.col("_parts"), F.col(path)) == F.col(key), "left")
             lists.append(F.coalesce(found, F.array().cast(f"array<{_ENTRY}>")))
         none = F.lit(None).cast(_ENTRY)
-        hits = F.filter(F.concat(*lists), lambda r: F.rlike(F.col(path), r["java"])) if lists else None
-        route = F.array_min(hits) if lists else none
+        route = F.array_min(_hits(F.concat(*lists), F.col(path))) if lists else none
         return rows.select(*entries.columns, route.alias("route"))
 
+    def _by_path(self, entries: DataFrame, path: str) -> DataFrame:
+        """One join of the segments of all different paths, at any depth, and one of the rows with the routes found."""
+        paths = entries.select(F.col(path).alias("_path")).where("_path IS NOT NULL").distinct()
+        segments = paths.select("_path", F.posexplode(F.split("_path", "/")).alias("_at", "segment")).where("_at > 0")
+        filed = self.table.where(F.col("place") != ALWAYS)
+        found = segments.join(filed, "segment").where((F.col("place") == ANYWHERE) | (F.col("place") == F.col("_at")))
+        if ALWAYS in self.places:
+            always = paths.join(self._filed(ALWAYS), self._lookup(ALWAYS, None, F.col("_path")) == F.col("segment"))
+            found = found.select("_path", "routes").unionByName(always.select("_path", "routes"))
+        hits = found.select("_path", F.array_min(_hits(F.col("routes"), F.col("_path"))).alias("_route"))
+        first = hits.groupBy("_path").agg(F.min("_route").alias("_route"))
+        rows = entries.join(first, F.col(path) == F.col("_path"), "left")
+        return rows.select(*entries.columns, F.col("_route").alias("route"))
+
+
+def _hits(routes: Column, path: Column) -> Column:
+    return F.filter(routes, lambda r: F.rlike(path, r["java"]))
+
 
 def apply_route_index(entries: DataFrame, index: RouteIndex) -> DataFrame:
     """Set ``route_id`` and replace ``uri`` by the text of the matching route, as ``apply_routes`` does."""
@@ -248,8 +290,12 @@ def route_params(entries: DataFrame, index: RouteIndex) -> DataFrame:
 
     The groups are read by the pattern of the row's own route.
     """
-    kept = [c for c in entries.columns if c != "route"]
-    routed = index.match(entries.select(*kept)).where("route IS NOT NULL")
+    rows = entries.select("method", "path")
+    if index.by_place or entries.isStreaming:
+        rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        rows = rows.groupBy("method", "path").agg(F.count("*").alias("_n"))
+    routed = index.match(rows).where("route IS NOT NULL")
     names = F.col("route.names")
     values = F.transform(
         names,
@@ -259,5 +305,5 @@ def route_params(entries: DataFrame, index: RouteIndex) -> DataFrame:
             F.call_function("regexp_extract", F.col("path"), F.col("route.java"), i + 1).alias("value"),
         ),
     )
-    rows = routed.select("method", F.col("route.pattern").alias("uri"), F.inline(values))
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("count"))
+    rows = routed.select("method", F.col("route.pattern").alias("uri"), "_n", F.inline(values))
+    return rows.groupBy("method", "uri", "position", "name", "value").agg(F.sum("_n").alias("count"))

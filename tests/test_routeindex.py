@@ -7,6 +7,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from hitpath.operators import routeindex
 from hitpath.operators.routeindex import (
     ANYWHERE, PLACES, RouteIndex, apply_route_index, required_segments, route_params, write_route_index,
 )
@@ -101,6 +102,37 @@ def test_random_lists(spark, entries, tmp_path):
     assert sorted(rows(got, "ord", "route_id", "uri")) == sorted(rows(want, "ord", "route_id", "uri"))
 
 
+@pytest.mark.parametrize("patterns", LISTS)
+def test_long_list_looks_paths_up_once(spark, entries, tmp_path, monkeypatch, patterns):
+    """As a long list does: routes of any place stored once, one join with the index whatever the number of places."""
+    monkeypatch.setattr(routeindex, "MOST_BY_PLACE", 1)
+    index = indexed(spark, tmp_path / "index", patterns)
+    paths = ["", "/", "/users/12", "/users/12/posts", "/v1/users/9", "/a/", "/a/q/b", "/b/c/", "/z/9", "/items/", "/USERS/a", "/users/users/1"]
+    paths += ["/1/2/3/4/5/6/7/8/9/users/3", "/1/2/3/4/5/6/7/8/b/c/d", "/deep/x", "/deep/x"]
+    log = entries([(i, f"GET {p}?a=1 HTTP/1.1", "u", i == 0) for i, p in enumerate(paths)])
+    log = log.unionByName(log.limit(1).withColumns({"ord": F.lit(99), "path": F.lit(None).cast("string"), "uri": F.lit(None).cast("string")}))
+    want = apply_routes(log, Routes(patterns)) if patterns else log
+    fields = ("uri", "position", "name", "value", "count")
+    monkeypatch.setattr(routeindex, "MOST_BY_PLACE", 1000)
+    values = rows(route_params(log, indexed(spark, tmp_path / "short", patterns)), *fields)
+    # The second form is that of a stream of requests, which has no different paths to look up first.
+    for index.by_place in (index.by_place, True):
+        got = apply_route_index(log, index)
+        assert got.columns == log.columns
+        assert sorted(rows(got, "ord", "route_id", "uri"), key=str) == sorted(rows(want, "ord", "route_id", "uri"), key=str)
+        assert sorted(rows(route_params(log, index), *fields)) == sorted(values)
+
+
+def test_long_list_shuffles_the_log_as_often_for_any_number_of_places(spark, entries, tmp_path, monkeypatch):
+    monkeypatch.setattr(routeindex, "MOST_BY_PLACE", 10)
+    log = entries([(i, f"GET /a/{i}/b HTTP/1.1", "u", i == 0) for i in range(30)])
+    index = indexed(spark, tmp_path / "index", [f"/a/{i}/(b)" for i in range(20)] + [f"^/a/{i}/(b)" for i in range(20, 40)])
+    assert index.places == [ANYWHERE, 2]
+    got = apply_route_index(log, index)
+    assert sorted(r[0] for r in rows(got, "route_id")) == list(range(30))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_params_of_the_matching_route(spark, entries, tmp_path):
     index = indexed(spark, tmp_path / "index", ["^/a/(?P<id>[0-9]+)/([a-z]+)$", "/b/(x)?"])
     log = entries([(0, "GET /a/1/q HTTP/1.1", "u", True), (1, "GET /a/1/r HTTP/1.1", "u"), (2, "GET /b/ HTTP/1.1", "u"), (3, "GET /c HTTP/1.1", "u")])
