@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
-from itertools import chain, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
@@ -239,11 +239,10 @@ class WordCache:
         codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(codes < 0).tolist()
         if missing:
-            new: dict[str, int] = {}
-            for i in missing:
-                new.setdefault(words[i], len(self.codes) + len(new))
+            unknown = list(map(words.__getitem__, missing))
+            new = dict(zip(dict.fromkeys(unknown), count(len(self.codes))))
             used = self._append(list(new))
-            codes[missing] = [new[words[i]] for i in missing]
+            codes[missing] = list(map(new.__getitem__, unknown))
         lengths = self.length[codes].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lengths)])
         ends = np.cumsum(counts)

@@ -59,12 +59,12 @@ def word_cache(path: str) -> WordCache:
         model, table = tokenizer.model, _byte_characters()
 
         def simple(word: str) -> list[int]:
-            return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))]
+            return [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(table))]
 
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             flat, lengths = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
             for i, j in portions(map(len, words), 50_000):
-                found = [simple(w) if w.isalpha() and w.islower() and not _beyond.search(w) else None for w in words[i:j]]
+                found = [simple(w) if w.isalpha() and w.islower() and (w.isascii() or not _beyond.search(w)) else None for w in words[i:j]]
                 rest = [k for k, ids in enumerate(found) if ids is None]
                 for k, e in zip(rest, tokenizer.encode_batch_fast([words[i + k] for k in rest], add_special_tokens=False)):
                     found[k] = e.ids
@@ -82,6 +82,10 @@ def word_cache(path: str) -> WordCache:
 _beyond = re.compile("[^\x00-\u012f]")
 
 
+#: Stops, and where one follows something else than a letter or digit whose lower case is one character.
+_STOPS = [(stop, re.compile(f"{re.escape(stop)}(?<![^\\W_\u0130]{re.escape(stop)})")) for stop in (", ", ". ")]
+
+
 def split_words(text: str) -> list[str]:
     """The pieces between spaces and newlines, with commas and stops after letters apart.
 
@@ -91,12 +95,11 @@ def split_words(text: str) -> list[str]:
     """
     text = text.replace("\n", " ")
     if "<|" not in text:
-        if not _beyond.search(text):
+        if text.isascii() or not _beyond.search(text):
             text = text.lower()
-        for stop in (", ", ". "):
-            parts = text.split(stop)
-            if all(p[-1:].isalnum() and p[-1] != "\u0130" for p in parts[:-1]):
-                text = f" {stop}".join(parts)
+        for stop, other in _STOPS:
+            if not other.search(text):
+                text = text.replace(stop, f" {stop}")
     return text.split(" ")
 
 

@@ -1,6 +1,7 @@
 """Tokenizing, files, fingerprints: against the libraries and plain programs, row by row."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 from hitpath.llm import pieces, sketch, tokenfile
-from hitpath.llm.common import shared_path
+from hitpath.llm.common import WordCache, shared_path
 
 PIECE, WORD = path("piece_bpe_32k.model"), path("word_bpe_49k.json")
 sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
@@ -120,3 +121,52 @@ def test_sketch_estimates_containment():
     a, b = sketch.sketches([" ".join(words[:9000]), " ".join(words[8996:])])
     assert sketch.merged(a, b).tolist() == whole.tolist()
     assert sketch.sketches(["", "x"])[0].size == 0 and sketch.sketches(["", "x"])[1].size == 1
+
+
+def test_what_a_cache_remembers():
+    """New words, words beyond those remembered, and what an encoder that fails leaves behind."""
+    asked = []
+
+    def encode(words):
+        asked.append(list(words))
+        if "bad" in words:
+            raise ValueError("bad")
+        lengths = np.array([len(w) for w in words])
+        return np.concatenate([np.full(len(w), ord(w[0]), np.uint16) for w in words]), lengths
+
+    cache = WordCache(encode, most=3)
+
+    def ids(*documents):
+        flat, counts = cache.ids([d.split() for d in documents])
+        assert flat.tolist() == [ord(w[0]) for d in documents for w in d.split() for _ in w]
+        assert counts.tolist() == [sum(map(len, d.split())) for d in documents]
+
+    ids("a bb a", "", "bb")
+    assert asked == [["a", "bb"]] and dict(cache.codes) == {"a": 0, "bb": 1}
+    with pytest.raises(ValueError):
+        ids("a bad")
+    assert dict(cache.codes) == {"a": 0, "bb": 1}
+    ids("ccc d a", "d")
+    assert asked[-1] == ["ccc", "d"] and dict(cache.codes) == {"a": 0, "bb": 1}
+    ids("ccc a")
+    assert asked[-1] == ["ccc"] and dict(cache.codes) == {"a": 0, "bb": 1, "ccc": 2}
+    ids("bb ccc", "")
+    ids()
+    assert asked[-1] == ["ccc"]
+
+
+def test_stops_are_set_apart_where_each_follows_a_letter_or_digit():
+    def plain(text):
+        text = text.lower()
+        for stop in (", ", ". "):
+            parts = text.split(stop)
+            if all(p[-1:].isalnum() and p[-1] != "İ" for p in parts[:-1]):
+                text = f" {stop}".join(parts)
+        return text.split(" ")
+
+    rng, split = random.Random(4), 0
+    for _ in range(20000):
+        text = "".join(rng.choice(["a", "é", "7", "²", "_", "-", ",", ".", " ", ", ", ". ", "aa", "X"]) for _ in range(rng.randrange(9)))
+        assert tokenfile.split_words(text) == plain(text), text
+        split += plain(text) != text.lower().split(" ")
+    assert split > 1000
