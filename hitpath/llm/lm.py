@@ -1,10 +1,11 @@
-"""Scores from a hierarchical Pitman-Yor language model.
-
-A token is predicted from the token before it, through three levels of
-restaurants: one per ending class of that token, their parents by last byte,
-and the root, over a uniform base of all known tokens and one unknown. The
-customers of a restaurant are its tokens, the tables it opens are customers of
-its parent. Seating is sampled by Gibbs: each dish of each restaurant in turn
+"""Scores from hierarchical Pitman-Yor language models.
+
+``score`` has one restaurant per context and lies in ``contextlm``. The rest of
+this module is ``score_by_class``, a coarser model for where that is too much.
+Here a token is predicted through three levels of restaurants: one per ending
+class of the token before it, their parents by last byte, and the root, over a
+uniform base of all known tokens and one unknown. The customers of a restaurant
+are its tokens, the tables it opens are customers of its parent. Seating is sampled by Gibbs: each dish of each restaurant in turn
 gets a number of tables given all the rest. The predictive probabilities are
 averaged over several samples.
 
@@ -26,36 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitpath.llm.common import partitions, portions, ranges, training, written
+from hitpath.llm.contextlm import BATCH_TOKENS, END, _bucket_of, _pack, _unpack, score, seat, stirling
+
+__all__ = ["perplexity", "score", "score_by_class", "seat", "stirling"]
 
 FINE, COARSE = 256, 16
 DISCOUNT = (0.65, 0.7, 0.75)
 STRENGTH = (1.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 3, 3
-BATCH_TOKENS = 2_000_000
-END = b"\n"
-_EXACT = 48
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, without planes that are all zero, compressed."""
-    width = 1
-    while len(x) and int(x.max()) >> (8 * width):
-        width += 1
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
 
 
 def _classes(words: list[bytes]) -> np.ndarray:
@@ -148,10 +132,6 @@ def encoded(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return rows.mapInArrow(work, _TEXTS_SQL)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _requests(texts: DataFrame, buckets: int) -> DataFrame:
     """What each batch asks of each bucket: its tokens there, with the classes before them and training counts."""
 
@@ -177,48 +157,6 @@ def _requests(texts: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def stirling(discount: float, most: int = _EXACT) -> np.ndarray:
-    """Logarithms of the generalised Stirling numbers: weights of seating c customers at t tables."""
-    table = np.full((most + 1, most + 1), -np.inf)
-    table[0, 0] = 0
-    for c in range(most):
-        t = np.arange(1, most + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stay = table[c, 1:] + np.log(np.maximum(c - t * discount, 0))
-        table[c + 1, 1:] = np.logaddexp(table[c, :-1], stay)
-    return table
-
-
-def seat(c: np.ndarray, log_open: np.ndarray, table: np.ndarray, discount: float, rng) -> np.ndarray:
-    """A Gibbs draw of each dish's number of tables, given how readily its restaurant opens one.
-
-    Of the first ``_EXACT`` customers the draw is from the exact distribution.
-    Later ones are seated one after the other in blocks of an eighth of those
-    seated, for which that readiness is held.
-    """
-    tables = np.minimum(c, 1)
-    steps = np.arange(1, _EXACT + 1)
-    for size in np.unique(np.minimum(c, _EXACT)).tolist():
-        if size < 2:
-            continue
-        at = np.flatnonzero(np.minimum(c, _EXACT) == size)
-        for i in range(0, len(at), 1 << 15):
-            some = at[i : i + (1 << 15)]
-            weight = table[size, 1 : size + 1] + log_open[some, None] * steps[:size]
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            draw = rng.random(len(some)) * weight[:, -1]
-            tables[some] = 1 + np.minimum((weight <= draw[:, None]).sum(axis=1), size - 1)
-    rest = np.flatnonzero(c > _EXACT)
-    if len(rest):
-        n, t, opens = np.full(len(rest), _EXACT), tables[rest], np.exp(log_open[rest])
-        while (n < c[rest]).any():
-            block = np.minimum(c[rest] - n, n // 8)
-            t = t + rng.binomial(block, opens / (n - discount * t + opens))
-            n = n + block
-        tables[rest] = t
-    return tables
-
-
 class _Sums(NamedTuple):
     """Customers and tables of every restaurant, per sample: root, coarse, fine; and the numbers of all tokens."""
 
@@ -391,17 +329,11 @@ class _Model:
         return total / SAMPLES
 
 
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """Scores of every row from a model of the rows outside the held-out part.
+def score_by_class(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
+    """As ``score``, from a coarser model: tokens that end alike are one context.
 
-    A-Z are lower-cased, tokens are the words between ASCII white space and one
-    end per text; a null text has the end only. ``base_score`` adds one to the
-    counts of single tokens, ``score`` is the model's log10 probability, in
-    which all tokens without a count in training are one unknown token. Rows
-    that repeat an id fall into the same part, and each counts; a null id counts
-    as the empty text when parts are drawn. Texts are read whole. An empty
-    table gives an empty one; columns other than id and text are not read,
-    whatever they are called.
+    It shares a few hundred sums whatever the corpus, where ``score`` keeps a
+    restaurant for each token, and predicts much worse.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
