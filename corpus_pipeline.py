@@ -16,8 +16,21 @@ from hitpath.llm import langid, mixing, nearcopies, pieces, pii
 from hitpath.llm.common import written
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(spark: SparkSession) -> None:
+    """Whole texts go to Python 1,000 at a time, unless the session has a number of its own.
+
+    Spark and Python each hold a batch, and Spark's 10,000 texts are tens of megabytes in each of them.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognised language; the others go."""
+    few_rows(spark)
     return langid.accepted(docs)
 
 
@@ -27,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Fingerprints miss most pairs near 0.8, so they only give candidates, along
     with minimum hashes; what is linked is confirmed by the sets themselves.
     """
+    few_rows(spark)
     return nearcopies.deduplicated(docs, words=5, radius=6, similarity=0.8)
 
 
@@ -42,6 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text in the mix, and the text they decode to."""
+    few_rows(spark)
     return pieces.encode_texts(docs, path("piece_bpe_32k.model")).select("doc_id", "source", "ids", "decoded")
 
 

@@ -9,6 +9,8 @@ from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -265,3 +267,10 @@ def portions(sizes: Iterable[int], most: int) -> list[tuple[int, int]]:
     if i >= start:
         cuts.append((start, i + 1))
     return cuts
+
+
+def slices(batch: pa.RecordBatch, field: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts have about ``most`` bytes, as Python and Spark each hold a whole batch at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(field)), 0).to_pylist()
+    for i, j in portions(sizes, most):
+        yield batch.slice(i, j - i)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitpath.llm.common import portions, training
+from hitpath.llm.common import portions, slices, training
 
 FEATURES = 1 << 15
 MOST_PER_LANGUAGE = 500
@@ -302,7 +302,8 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores = predict(model, pc.fill_null(batch.column(field), "").to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(languages, scores)], pa.bool_()))
+            for cut in slices(batch, field, 500_000):
+                languages, scores = predict(model, pc.fill_null(cut.column(field), "").to_pylist())
+                yield cut.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(languages, scores)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

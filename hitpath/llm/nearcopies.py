@@ -11,6 +11,7 @@ one task are cut into slices by hash, and pairs of slices are dealt out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from hitpath.llm.common import components, free_name, partitions, picked, written
+from hitpath.llm.common import components, free_name, partitions, picked, slices, written
 from hitpath.llm.simhash import links, majority, shingle_hashes
 
 BANDS, WIDTH = 32, 8
@@ -54,7 +55,7 @@ def _prepared(docs: DataFrame, words: int) -> tuple[DataFrame, list[str]]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, text, 500_000) for b in batches):
             found = [[], [], [], []]
             for t in batch.column(text):
                 hashes = shingle_hashes(t.as_py(), words)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from hitpath.llm.common import WordCache, portions, ranges
+from hitpath.llm.common import WordCache, portions, ranges, slices
 
 SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
@@ -210,14 +210,12 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            texts = pc.fill_null(batch.column(field), "")
-            for i, j in portions(pc.binary_length(texts).to_pylist(), 1_500_000):
-                ids, counts = model.encode(texts.slice(i, j - i).to_pylist())
+            for cut in slices(batch, field, 300_000):
+                ids, counts = model.encode(pc.fill_null(cut.column(field), "").to_pylist())
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32))
                 )
                 decoded = pa.array([b.decode() for b in model.decode(ids, counts)], pa.string())
-                cut = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*cut.columns, lists, decoded], names=[*kept, "ids", "decoded"])
 
     return rows.mapInArrow(work, wanted)
